@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import compression, pairwise, simhash
 from .shared import ship
 
 
@@ -18,8 +18,18 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[S
     return query
 
 
+def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return operator(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+    return query
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": _over("documents", simhash.op2_simhash),
+    "op9_pairwise": _labelled(pairwise.op9_pairwise),
+    "op10_compression": _over("documents", compression.op10_compression),
 }
 
 ORACLES: dict[str, str] = {}
