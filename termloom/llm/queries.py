@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, pairwise, simhash
+from . import compression, lines, pairwise, simhash
 from .shared import ship
 
 
@@ -28,6 +28,7 @@ def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": _over("documents", simhash.op2_simhash),
+    "op4_lines": _over("documents", lines.op4_lines),
     "op9_pairwise": _labelled(pairwise.op9_pairwise),
     "op10_compression": _over("documents", compression.op10_compression),
 }
