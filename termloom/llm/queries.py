@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, lines, pairwise, simhash, sketch
+from . import compression, lines, mixing, pairwise, simhash, sketch
 from .shared import ship
 
 
@@ -29,6 +29,7 @@ def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": _over("documents", simhash.op2_simhash),
     "op4_lines": _over("documents", lines.op4_lines),
+    "op7_mixing": _over("documents", mixing.op7_mixing),
     "op8_sketch": _over("documents", sketch.op8_sketch),
     "op9_pairwise": _labelled(pairwise.op9_pairwise),
     "op10_compression": _over("documents", compression.op10_compression),
