@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, lines, mixing, pairwise, simhash, sketch
+from . import compression, lines, mixing, packing, pairwise, records, simhash, sketch
 from .shared import ship
 
 
@@ -26,9 +26,21 @@ def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
     return query
 
 
+def _tokenized(operator: Callable[[DataFrame, str], DataFrame], file: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import public_tokenizers
+
+        ship(spark)
+        return operator(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(file))
+
+    return query
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": _over("documents", simhash.op2_simhash),
     "op4_lines": _over("documents", lines.op4_lines),
+    "op5_records": _tokenized(records.op5_records, "byte_bpe_50k.json"),
+    "op6_packing": _tokenized(packing.op6_packing, "word_bpe_49k.json"),
     "op7_mixing": _over("documents", mixing.op7_mixing),
     "op8_sketch": _over("documents", sketch.op8_sketch),
     "op9_pairwise": _labelled(pairwise.op9_pairwise),
