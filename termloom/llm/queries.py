@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, lines, mixing, packing, pairwise, records, simhash, sketch
+from . import compression, lines, mixing, packing, pairwise, records, simhash, sketch, warc
 from .shared import ship
 
 
@@ -38,6 +38,7 @@ def _tokenized(operator: Callable[[DataFrame, str], DataFrame], file: str) -> Ca
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": _over("documents", simhash.op2_simhash),
+    "op3_warc": _over("pages", warc.op3_warc),
     "op4_lines": _over("documents", lines.op4_lines),
     "op5_records": _tokenized(records.op5_records, "byte_bpe_50k.json"),
     "op6_packing": _tokenized(packing.op6_packing, "word_bpe_49k.json"),
@@ -47,4 +48,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_compression": _over("documents", compression.op10_compression),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE}
