@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, lines, mixing, packing, pairwise, records, simhash, sketch, warc
+from . import compression, kneser_ney, lines, mixing, packing, pairwise, records, simhash, sketch, warc
 from .shared import ship
 
 
@@ -37,6 +37,7 @@ def _tokenized(operator: Callable[[DataFrame, str], DataFrame], file: str) -> Ca
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney": _over("documents", kneser_ney.op1_kneser_ney),
     "op2_simhash": _over("documents", simhash.op2_simhash),
     "op3_warc": _over("pages", warc.op3_warc),
     "op4_lines": _over("documents", lines.op4_lines),
