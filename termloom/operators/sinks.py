@@ -121,25 +121,25 @@ def write_markdown(records: DataFrame, folder: str) -> DataFrame:
     """
     src = records.select(slug(F.col("hierarchy")).alias("slug"), "id", markdown().alias("text"))
 
-    def run(frames: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import os
         import uuid
         from collections import Counter
 
-        import pandas as pd
+        import pyarrow as pa
 
         n: Counter = Counter()
-        for f in frames:
-            for s, i, t in zip(f["slug"], f["id"], f["text"]):
+        for b in batches:
+            for s, i, t in zip(*(b.column(k).to_pylist() for k in range(3))):
                 os.makedirs(f"{folder}/{s}", exist_ok=True)
                 part = f"{folder}/{s}/.{uuid.uuid4().hex}"
                 with open(part, "w", encoding="utf-8") as out:
                     out.write(t)
                 os.replace(part, f"{folder}/{s}/{i}.md")
                 n[s] += 1
-        yield pd.DataFrame({"slug": list(n), "files": list(n.values())})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["slug", "files"])
 
-    return src.mapInPandas(run, "slug string, files long").groupBy("slug").agg(F.sum("files").alias("files"))
+    return src.mapInArrow(run, "slug string, files long").groupBy("slug").agg(F.sum("files").alias("files"))
 
 
 def hierarchy_pages(records: DataFrame) -> DataFrame:

@@ -15,32 +15,35 @@ def check_dimension(df: DataFrame, n: int, column: str = "embedding") -> DataFra
     return df.where(F.assert_true(F.size(column) == n, F.lit(f"a vector doesn't have {n} dimensions")).isNull())
 
 
-def nearest(df: DataFrame, query: list[float], k: int = 10, most: int | None = 100, id_: str = "id", column: str = "embedding", min_similarity: float | None = None, hierarchy: str | None = None) -> DataFrame:
-    """The k rows most like a vector, exactly; ties by id. Filters come before the limit."""
+def nearest(df: DataFrame, query: list[float], k: int | None = 10, most: int | None = 100, id_: str = "id", column: str = "embedding", min_similarity: float | None = None, hierarchy: str | None = None) -> DataFrame:
+    """The k rows most like a vector, exactly; ties by id; all rows if k is None. Filters come before the limit."""
     v = F.array(*[F.lit(float(x)) for x in query])
     d = df if hierarchy is None else df.where(F.col("hierarchy") == hierarchy)
     out = check_dimension(d, len(query), column).withColumn("similarity", cosine(F.col(column), v))
     if min_similarity is not None:
         out = out.where(F.col("similarity") >= min_similarity)
-    return out.drop(column).orderBy(F.col("similarity").desc(), id_).limit(k if most is None else min(k, most))
+    out = out.drop(column).orderBy(F.col("similarity").desc(), id_)
+    return out if k is None else out.limit(k if most is None else min(k, most))
 
 
 def embedded(concepts: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
     """(id, preferred_term, hierarchy, embedding): each concept's text through a model that is called on executors, batch texts at a time."""
     src = concepts.select("id", "preferred_term", "hierarchy", embed_text().alias("text"))
 
-    def run(frames: Iterator) -> Iterator:
-        for f in frames:
-            vectors: list = []
-            for i in range(0, len(f), batch):
-                texts = f["text"].iloc[i : i + batch].tolist()
-                got = model(texts)
-                if len(got) != len(texts):
-                    raise ValueError(f"the model gave {len(got)} vectors for {len(texts)} texts")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            texts, vectors = b.column(3).to_pylist(), []
+            for i in range(0, len(texts), batch):
+                part = texts[i : i + batch]
+                got = model(part)
+                if len(got) != len(part):
+                    raise ValueError(f"the model gave {len(got)} vectors for {len(part)} texts")
                 vectors += [[float(x) for x in v] for v in got]
-            yield f.drop(columns="text").assign(embedding=vectors)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(vectors, pa.list_(pa.float32()))], ["id", "preferred_term", "hierarchy", "embedding"])
 
-    return src.mapInPandas(run, "id string, preferred_term string, hierarchy string, embedding array<float>")
+    return src.mapInArrow(run, "id string, preferred_term string, hierarchy string, embedding array<float>")
 
 
 def by_label(df: DataFrame, query: list[float], label: str, column: str = "embedding") -> DataFrame:

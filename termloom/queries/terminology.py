@@ -57,9 +57,9 @@ def full_record(t: Terminology, _):
     return t.record("C7").select("id", "preferred_term", F.array_join(F.transform("member_of", lambda m: F.concat(m["preferred_term"], F.lit("="), m["id"])), ";").alias("member_of"))
 
 
-@query("SELECT id, preferred_term FROM concepts JOIN maps ON concept_id = id WHERE code = 'Brand#11-1'")
+@query("SELECT id, preferred_term FROM concepts JOIN maps ON concept_id = id WHERE code = (SELECT min(code) FROM maps)")
 def code_dispatch(t: Terminology, _):
-    return t.concept("Brand#11-1").select("id", "preferred_term")
+    return t.concept(t.maps.orderBy("code").first().code).select("id", "preferred_term")
 
 
 @query("SELECT id, preferred_term, active, hierarchy, children_count FROM concepts WHERE id = 'P10'")
@@ -168,9 +168,9 @@ def semi_active(t: Terminology, _):
     return t.concepts.where("active").join(t.members.select(F.col("referenced_component_id").alias("id")), "id", "left_semi").select("id")
 
 
-@query("SELECT id FROM concepts c WHERE id LIKE 'C%' AND NOT EXISTS (SELECT 1 FROM isa WHERE parent_id = c.id)")
+@query("SELECT id FROM concepts c WHERE id LIKE 'C%' AND NOT EXISTS (SELECT 1 FROM isa WHERE parent_id = c.id AND child_id LIKE 'O%5')")
 def anti_childless(t: Terminology, _):
-    return t.concepts.where("id like 'C%'").join(t.isa.select(F.col("parent_id").alias("id")), "id", "left_anti").select("id")
+    return t.concepts.where("id like 'C%'").join(t.isa.where("child_id like 'O%5'").select(F.col("parent_id").alias("id")), "id", "left_anti").select("id")
 
 
 @query("SELECT s.id, s.target, coalesce(c.fsn, '') AS fsn FROM supplied s LEFT JOIN concepts c ON c.id = s.target AND c.active")
@@ -346,9 +346,9 @@ def ql_where_any(t: Terminology, _):
     return t.select('children of "BR:Brand#11" where supplied by is any')
 
 
-@query("SELECT referenced_component_id AS id FROM members WHERE refset_id = 'SEG:BUILDING' INTERSECT SELECT child_id FROM isa WHERE parent_id = 'N3'")
+@query("SELECT referenced_component_id AS id FROM members WHERE refset_id = 'SEG:BUILDING' INTERSECT SELECT descendant_id FROM closed WHERE ancestor_id = 'R1'")
 def ql_members(t: Terminology, _):
-    return t.select("members of SEG:BUILDING and children of N3")
+    return t.select("members of SEG:BUILDING and descendants of R1")
 
 
 @query("SELECT parent_id AS id FROM isa WHERE child_id = 'P5' UNION SELECT 'P5'")
@@ -383,9 +383,9 @@ def _documents(table) -> DataFrame:
     return S.postings(table("documents"), "doc_id", ["text"])
 
 
-@query(_TOKENS + "SELECT DISTINCT id FROM tok WHERE token = 'thonheth'", base=False)
+@query(_TOKENS + "SELECT DISTINCT id FROM tok WHERE token = 'hend'", base=False)
 def fts_term(t, table):
-    return S.matches(_documents(table), "thonheth")
+    return S.matches(_documents(table), "hend")
 
 
 @query(_TOKENS + "SELECT id FROM tok WHERE token = 'with' INTERSECT SELECT id FROM tok WHERE token = 'from'", base=False)
@@ -403,9 +403,9 @@ def fts_not(t, table):
     return S.matches(_documents(table), "the NOT from")
 
 
-@query(_TOKENS + "SELECT DISTINCT id FROM tok WHERE token LIKE 'thonh%'", base=False)
+@query(_TOKENS + "SELECT DISTINCT id FROM tok WHERE token LIKE 'ere%'", base=False)
 def fts_prefix(t, table):
-    return S.matches(_documents(table), "thonh*")
+    return S.matches(_documents(table), "ere*")
 
 
 @query(_TOKENS + "SELECT DISTINCT a.id FROM tok a JOIN tok b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'", base=False)
@@ -471,7 +471,7 @@ def vector_norms(t, table):
 @query("SELECT vec_id, round(s, 6) AS similarity FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS s FROM embeddings) WHERE s >= 0.2", base=False)
 def cosine_threshold(t, table):
     e, v = _vectors(table)
-    return V.nearest(e, v, 1_000_000_000, None, "vec_id", min_similarity=0.2).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return V.nearest(e, v, None, id_="vec_id", min_similarity=0.2).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 # --- scalar functions --------------------------------------------------------------
@@ -590,7 +590,7 @@ def codelist_parse(t, table):
     return C.classified(_list_lines(table)).select("line_no", "kind", "code", "term", "comment")
 
 
-@query(f"SELECT line_no, CASE kind WHEN 'active' THEN rpad(code, greatest(14, length(code)), ' ') || ' ' || term || coalesce('  # ' || comment, '') WHEN 'excluded' THEN '# ' || rpad(code, greatest(13, length(code)), ' ') || ' ' || term || coalesce('  # ' || comment, '') WHEN 'pending' THEN '# ? ' || code || '  ' || term WHEN 'comment' THEN comment ELSE '' END AS line FROM ({_list_sql()})", base=False)
+@query(f"SELECT line_no, CASE kind WHEN 'active' THEN rpad(code, greatest(14, length(code))::INT, ' ') || ' ' || term || coalesce('  # ' || comment, '') WHEN 'excluded' THEN '# ' || rpad(code, greatest(13, length(code))::INT, ' ') || ' ' || term || coalesce('  # ' || comment, '') WHEN 'pending' THEN '# ? ' || code || '  ' || term WHEN 'comment' THEN comment ELSE '' END AS line FROM ({_list_sql()})", base=False)
 def codelist_render(t, table):
     return C.classified(_list_lines(table)).select("line_no", C.rendered(F.col("kind"), F.col("code"), F.col("term"), F.col("comment")).alias("line"))
 
@@ -681,7 +681,7 @@ def release_diff_counts(t, table):
 @query("SELECT l_orderkey::VARCHAR AS id, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS n FROM lineitem) WHERE n = 1", base=False)
 def last_row_wins(t, table):
     rows = table("lineitem").select(F.col("l_orderkey").cast("string").alias("id"), "l_partkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("ord"))
-    return B.last_row(rows, "id")
+    return B.last_row(rows, "id").select("id", "l_partkey")
 
 
 @query("SELECT l_orderkey::VARCHAR AS child_id, l_partkey::VARCHAR AS parent_id FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1", base=False)
