@@ -1,9 +1,10 @@
 """Substring dedup by hashed lines, paragraphs and sentences.
 
 A text is cut into units: lines (or paragraphs, cut at blank lines), and the
-sentences of each, so that a passage set into the middle of other text is
-found too. A unit of at least MIN_WORDS words is normalised (white space
-collapsed, lower case) and hashed to 128 bits. Digests are grouped over the
+sentences of each (a short one together with its neighbours), so that a passage
+set into the middle of other text is found too. A unit of at least MIN_WORDS
+words is normalised (white space collapsed,
+lower case) and hashed to 128 bits. Digests are grouped over the
 whole corpus; the occurrence that ranks earliest by (doc_id, text hash,
 start) stays and all others are removed. Spans are code-point offsets into the
 original text, half open; a unit takes the white space that follows it along.
@@ -44,13 +45,18 @@ def units(text: str, by: str = "line", min_words: int = MIN_WORDS, sentences: bo
         yield m.start(), m.end(), xxhash.xxh3_128_digest(" ".join(words))
         if not sentences:
             continue
-        inner = list(_SENTENCE.finditer(text, m.start(), m.end()))
-        if len(inner) < 2:
-            continue
-        for s in inner:
-            words = s.group().lower().split()
-            if len(words) >= min_words:
-                yield s.start(), s.end(), xxhash.xxh3_128_digest(" ".join(words))
+        inner = [(x.start(), x.end(), x.group().lower().split()) for x in _SENTENCE.finditer(text, m.start(), m.end())]
+        for i in range(len(inner)):
+            # a short sentence goes with those that follow it or, at the end, that precede it
+            j, k, run = i, i, inner[i][2]
+            while len(run) < min_words and k + 1 < len(inner):
+                k += 1
+                run = run + inner[k][2]
+            while len(run) < min_words and j:
+                j -= 1
+                run = inner[j][2] + run
+            if k - j + 1 < len(inner):
+                yield inner[j][0], inner[k][1], xxhash.xxh3_128_digest(" ".join(run))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
