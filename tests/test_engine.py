@@ -267,3 +267,37 @@ def test_closure_order_of_partitions_does_not_matter(built):
     isa = B.edges_of(df)
     a = sorted(map(tuple, H.closure(isa).collect()))
     assert a == sorted(map(tuple, H.closure(isa.repartition(3, F.rand(1))).collect()))
+
+
+def test_artefacts_and_catalogue(spark, built, tmp_path):
+    from termloom.plans import artefacts
+    from termloom.sources import catalogue
+
+    _, df = built
+    at = tmp_path / "rel"
+    write(at, "sct2_Concept_Snapshot_X.txt", CONCEPT_HEAD.split("\t"), ["1", "x", 1, "m", "d"], ["2", "x", 1, "m", "d"])
+    write(at, "sct2_Description_Snapshot-en_X.txt", "id effectiveTime active moduleId conceptId languageCode typeId term caseSignificanceId".split(), ["1", "x", 1, "m", "1", "en", FSN_TYPE, "Top (t)", "c"], ["2", "x", 1, "m", "2", "en", FSN_TYPE, "Low thing (t)", "c"])
+    write(at, "sct2_Relationship_Snapshot_X.txt", "id effectiveTime active moduleId sourceId destinationId relationshipGroup typeId characteristicTypeId modifierId".split(), ["r", "x", 1, "m", "2", "1", 0, IS_A, "c", "o"])
+
+    def fails(texts):
+        raise RuntimeError("no model here")
+
+    paths = artefacts.make(spark, [str(at)], str(tmp_path / "out"), model=fails, root="1")
+    assert "embeddings" not in paths and "no model here" in paths["embeddings_error"]
+    t = artefacts.load(spark, paths)
+    assert ids(t.search("low thing")) == ["2"] and ids(t.select("descendants of 1")) == ["2"] and t.concept("2").first().hierarchy == "Low thing"
+    assert {r.name: r.value for r in artefacts.info(t.concepts).collect()}["total"] == "2"
+    good = V.embedded(t.concepts, lambda texts: [[float(len(x)), 1.0] for x in texts], 1).collect()
+    assert len(good) == 2 and len(good[0].embedding) == 2
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.zip").write_bytes(b"abc")
+    rows = [("uk", "a.zip", "20240101", "u", "BA7816BF8F01CFEA414140DE5DAE2223B00361A396177A9CB410FF61F20015AD".lower()), ("uk", "b.zip", "20250101", "u", "00")]
+    c = spark.createDataFrame(rows, catalogue.SCHEMA)
+    assert [r.name for r in catalogue.newer(c, spark.createDataFrame([("uk", "20240101")], "edition string, release_date string")).collect()] == ["b.zip"]
+    assert [(r.name, r.good) for r in catalogue.verified(spark, str(tmp_path / "f"), c).collect()] == [("a.zip", True)]
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "Rel.ZIP", "w") as z:
+        z.writestr("top/Snapshot/x.txt", "1")
+        z.writestr("../evil.txt", "2")
+    assert release.unpacked(str(tmp_path / "Rel.ZIP"), str(tmp_path / "stage")).endswith("top") and not (tmp_path / "stage" / "evil.txt").exists() and not (tmp_path / "evil.txt").exists()
