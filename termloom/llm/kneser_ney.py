@@ -50,7 +50,7 @@ from .textstats import slices
 from .words import hashed, mix
 
 TOKENS = 4 << 20  # tokens that a task adds up before it sends blocks on
-WORD_SHARD, PAIR_SHARD, CONTEXT_SHARD = 64 << 20, 16 << 20, 1 << 20  # bytes of text, bytes of text and words for each shard
+WORD_SHARD, PAIR_SHARD, PAIRS_PER_CONTEXT = 64 << 20, 16 << 20, 16  # bytes of text for each shard; bigram shards for each context shard
 _U = np.uint64
 _END = _U(0xA5B35705F00DC0DE)  # the end token's hash
 
@@ -106,13 +106,29 @@ def _add_up(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[at], np.add.reduceat(counts, at)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and their differences, in as few bytes each as the greatest needs."""
+    d = np.diff(keys)
+    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(raw) + 1, 8), np.uint8)
+    out[0] = np.frombuffer(data, np.uint8, 8, 1)
+    out[1:, :width] = raw
+    return np.cumsum(out.reshape(-1).view(_U), dtype=_U)
+
+
 def _blocks(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """A row for each shard that gets any of the sorted keys."""
     ends = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else np.zeros(0, np.int64)
     cuts = [0, *ends.tolist(), len(keys)]
     some = [(s, a, b) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     return pa.RecordBatch.from_pydict(
-        {"shard": pa.array([s for s, _, _ in some], pa.int64()), "keys": pa.array([keys[a:b].tobytes() for _, a, b in some], pa.binary()), "counts": pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in some], pa.binary())}
+        {"shard": pa.array([s for s, _, _ in some], pa.int64()), "keys": pa.array([packed(keys[a:b]) for _, a, b in some], pa.binary()), "counts": pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in some], pa.binary())}
     )
 
 
@@ -145,7 +161,7 @@ def _count_words(bits: int):
 
 
 def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(b"".join(group["keys"].to_pylist()), _U)
+    keys = np.concatenate([unpacked(x) for x in group["keys"].to_pylist()])
     counts = np.frombuffer(b"".join(group["counts"].to_pylist()), "<u4").astype(np.int64)
     return _add_up(keys, counts)
 
@@ -174,8 +190,8 @@ def _mapped(uri: str, name: str) -> np.ndarray:
     return np.memmap(f, np.uint8, "r")
 
 
-def _find(uri: str, kind: str, bits: int, sizes: list[int] | None, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place in all shards or -1, count or 0) of each of the sorted distinct keys."""
+def _find(uri: str, kind: str, bits: int, sizes: list[int] | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in all shards or -1, count or 0) of each of the sorted distinct keys, in word or pair files."""
     place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
     ends = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else np.zeros(0, np.int64)
     cuts, base = [0, *ends.tolist(), len(keys)], 0
@@ -185,12 +201,22 @@ def _find(uri: str, kind: str, bits: int, sizes: list[int] | None, keys: np.ndar
                 data = _mapped(uri, f"{kind}-{shard:07d}")
             except FileNotFoundError:
                 continue
-            n = len(data) // (8 + width)
-            known, counts = data[: 8 * n].view(_U), data[8 * n :].view(f"<u{width}" if width == 4 else "<i8")
+            if kind == "word":
+                n = len(data) // 16
+                counts = data[8 * n :].view("<i8")
+            else:
+                many = int.from_bytes(data[-8:].tobytes(), "little")
+                n = (len(data) - 8 - 16 * many) // 9
+                counts, large = data[8 * n : 9 * n], np.frombuffer(data[9 * n : 9 * n + 16 * many].tobytes(), "<i8")
+            known = data[: 8 * n].view(_U)
             at = np.minimum(np.searchsorted(known, keys[a:b]), n - 1)
             hit = known[at] == keys[a:b]
             place[a:b] = np.where(hit, base + at, -1)
-            count[a:b] = np.where(hit, counts[at], 0)
+            got = counts[at].astype(np.int64)
+            if kind == "pair" and many:
+                big = np.flatnonzero(got == 255)
+                got[big] = large[many:][np.searchsorted(large[:many], at[big])]
+            count[a:b] = np.where(hit, got, 0)
         base += sizes[shard] if sizes is not None else 0
     return place, count
 
@@ -201,7 +227,7 @@ def _numbered(m: Arrays, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.
     The last index stands for a text's beginning.
     """
     words, of = np.unique(h, return_inverse=True)
-    place, count = _find(m.uri, "word", m.word_bits, m.words, words, 8)
+    place, count = _find(m.uri, "word", m.word_bits, m.words, words)
     before = np.concatenate([[0], of[:-1]])
     before[np.concatenate([[True], at[1:] != at[:-1]])] = len(words)
     return np.append(place, m.vocabulary), np.append(count, 0), of, before
@@ -227,13 +253,17 @@ def _count_pairs(m: Arrays):
 _SUMS = "range long, ids binary, total binary, ones binary, twos binary, more binary, before binary, n1 long, n2 long, n3 long, n4 long, pairs long"
 
 
+def _small(counts: np.ndarray) -> list[bytes]:
+    """Counts in a byte each, 255 for larger ones; then the larger ones' places and counts, and how many there are."""
+    large = np.flatnonzero(counts >= 255)
+    return [np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype("<i8").tobytes(), counts[large].astype("<i8").tobytes(), len(large).to_bytes(8, "little")]
+
+
 def _write_pairs(m: Arrays):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         keys, counts = _merged(group)
-        if len(counts) and counts.max() >= 1 << 32:
-            raise OverflowError("a bigram was counted over four billion times")
-        Store(m.uri).write(f"pair-{shard:07d}", [keys.tobytes(), counts.astype("<u4").tobytes()])
+        Store(m.uri).write(f"pair-{shard:07d}", [keys.tobytes(), *_small(counts)])
         both = unmix(keys)
         u, w = (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.int64)
         ids = np.unique(np.concatenate([u, w]))
@@ -281,7 +311,8 @@ def train(texts: DataFrame, uri: str) -> Arrays:
     m.tokens = sum(r.tokens for r in got)
     if m.vocabulary >= 1 << 32:
         raise OverflowError("over four billion distinct words")
-    m.contexts = CONTEXT_SHARD
+    # context shards keep pace with the bigram shards that send to them, so that each gathers as much at every size
+    m.contexts = -(-(m.vocabulary + 1) // max(1, (1 << m.pair_bits) // PAIRS_PER_CONTEXT))
     sums = cut(texts.mapInArrow(_count_pairs(m), _BLOCK).groupBy("shard").applyInArrow(_write_pairs(m), _SUMS))
     k = sums.agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "pairs"))).first()
     m.pairs = k.pairs or 0
@@ -323,7 +354,7 @@ def score(m: Arrays, texts: pa.Array) -> dict[str, np.ndarray]:
     key = mix((place[before].astype(_U) << _U(32)) | place[of].astype(_U))
     seen = np.zeros(len(h), np.int64)
     distinct, inverse = np.unique(key[known], return_inverse=True)
-    seen[known] = _find(m.uri, "pair", m.pair_bits, None, distinct, 4)[1][inverse]
+    seen[known] = _find(m.uri, "pair", m.pair_bits, None, distinct)[1][inverse]
     d = np.array([0.0, *m.pair_discounts])
     taken = d[1] * ones + d[2] * twos + d[3] * more
     c = total[before].astype(float)
