@@ -12,7 +12,8 @@ rarer label. Everything else covers all rows. No column but text is a feature.
 
 Edge cases: null text is empty; labels that are null or contradict one another
 are not learned from; without labelled pairs every score is 0.5, which
-predicts 1; repeated rows score alike; other columns pass through untouched.
+predicts 1; of rows that share an id the least text is learned from; repeated
+rows score alike; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, use=None, per_label: int = PER_LAB
     one = one.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2").select("doc_id", "q", F.xxhash64("doc_id").alias("h"))
     sample = one.where("q = 0").orderBy("h", "doc_id").limit(per_label).unionAll(one.where("q = 1").orderBy("h", "doc_id").limit(per_label))
     good = sample.select("doc_id", (F.col("q") == 1).alias("good"))  # 2 * per_label rows at most, so it can be broadcast
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(good), "doc_id").select("doc_id", "good", "text")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(good), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))  # an id's rows count once, so that the bound holds
     rows = got.mapInArrow(_features_of, "doc_id long, good boolean, x array<double>").toArrow()
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     y, ids = rows["good"].to_numpy(zero_copy_only=False).astype(bool), rows["doc_id"].to_numpy()
