@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 BLOCK, SLOTS, MOST, SEED = 256, 1024, 3, 20
-ROWS_PER_CHUNK = 4096
+ROWS_PER_CHUNK = 512  # small, so that a chunk of a source with a third of all rows is no larger than its neighbours
 CELLS = 4096  # of the cumulated shares, by which a draw finds its source
 
 
