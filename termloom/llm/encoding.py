@@ -19,7 +19,7 @@ import json
 import re
 from array import array
 
-CACHE = 300_000  # chunks in each of the cache's two generations
+CACHE = 200_000  # chunks in each of the cache's two generations
 _CHUNK = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Characters that some libraries and not others count as white space or as word parts.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028-\u202f\u205f\u2060\u3000\ufeff]")

@@ -106,11 +106,20 @@ def tasks(spark: SparkSession, units: float, per_task: float, least: int = 1) ->
 _SHIPPED: set[str] = set()
 
 
+ROWS_PER_BATCH = 2000  # of Arrow batches; documents are longer than the rows that Spark's default of 10,000 is for
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that they need no copy on their path."""
+    """Sends this package to the executors, once for each application, so that they need no copy on their path.
+
+    Also sets the rows of an Arrow batch where the session has Spark's default.
+    """
     import zipfile
     from pathlib import Path
 
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ROWS_PER_BATCH))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
