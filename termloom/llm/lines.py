@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import cut
+
 MIN_WORDS = 5
 _ROWS = 1 << 16
 _OUTER = {"line": re.compile(r"[^\n]*\n+|[^\n]+"), "paragraph": re.compile(r"(?s).+?(?:\n[ \t]*)+\n|.+")}
@@ -114,7 +116,8 @@ def removed_spans(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS,
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(_unit_rows(by, min_words, sentences), "k1 long, k2 long, id long, h long, start long, end long")
     rank = F.struct("id", "h", "start")
-    dup = found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("k1", "k2", "first")
+    # cut off, so that the join has a plain shuffle on either side and a hot digest's rows can be split
+    dup = cut(found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("k1", "k2", "first"))
     later = found.join(dup, ["k1", "k2"]).where(~rank.eqNullSafe(F.col("first")))
     return later.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
