@@ -1,35 +1,40 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped hash arrays.
-
-Counting. Training texts become arrays of 64-bit word hashes; each task adds
-up what it has read and sends every shard (a range of hashes) one block of
-sorted hashes and counts. A shard's merge writes a sorted array to the shared
-folder. A word's place in the vocabulary so written is its number; the pair of
-two numbers, put through a bijective mix, is a bigram's hash, so bigrams are
-exact, spread evenly however frequent a word is, and can be taken apart again.
-The merge of a bigram shard adds up, for each word in it, what it is followed
-and preceded by; these sums, pre-aggregated, make the context arrays.
-
-Model. Counts of bigrams have discounts D1, D2, D3+ from their counts of
-counts, unigrams are estimated from the numbers of distinct words before them
-with discounts of their own, and below is a uniform share for each known word
-and one for all unknown ones:
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark and scored from memory-mapped hash arrays.
+
+Numbers. Training texts become arrays of 64-bit word hashes; each task adds up
+what it has read and sends every shard (a range of hashes) one block of sorted
+hashes and counts. A shard's merge writes a sorted array to the shared folder.
+A word's place in the vocabulary so written is its number. An n-gram is the
+pair of two numbers, of its first and of its last n-1 words; put through a
+bijective mix, the pair is its hash, so n-grams of every order are exact,
+spread evenly however frequent a word is, and can be taken apart again. Below
+the highest order its place among all of its order is an n-gram's number.
+
+Sums. The merge of a shard of the highest order adds up, for each n-gram of the
+order below, what it is followed and preceded by; these sums, pre-aggregated,
+make the context arrays. The numbers of distinct words before then stand for
+the counts of that order, and give the sums of the next lower one.
+
+Model. Counts have discounts D1, D2, D3+ from their counts of counts, each
+order its own, and below is a uniform share for each known word and one for
+all unknown ones (h: a context, h': the same without its first word):
 
     p(w)     = max(0, a(w) - D(a(w))) / A + g / (V + 1)
-    p(w | u) = max(0, c(u, w) - D(c(u, w))) / c(u) + g(u) p(w)
+    p(w | h) = max(0, c(h, w) - D(c(h, w))) / c(h) + g(h) p(w | h')
 
-a(w): distinct words before w, A: their sum, g: what discounting took. A text
-is scored from its beginning (a context of its own) to its end, a token.
+c: the count in the highest order, the number of distinct words before in the
+others; a(w): distinct words before w, A: their sum, g: what discounting took.
+A text is scored from its beginning (order - 1 tokens that stand only there)
+to its end, a token.
 
 Scoring. A worker maps the arrays (pages that it touches are read, and shared
 by all workers of a machine) and looks up the sorted distinct words and
-bigrams of a few megabytes of text at a time by binary search.
-
-The order is fixed at two: trigrams of these texts hardly repeat, and their
-arrays and shuffles alone would take more disk than four times the input.
+n-grams of a few megabytes of text at a time by binary search.
 
 Edge cases: null and empty texts have the end token only; a null id is not
 held out; repeated rows count each time; without training texts every token
 is unknown and has probability 1 / (V + 1) = 1; other columns are ignored.
+Over four billion distinct words, or n-grams below the highest order, are an
+error.
 """
 
 from __future__ import annotations
@@ -45,12 +50,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Store, cut, folder
+from .shared import Store, folder
 from .textstats import slices
 from .words import hashed, mix
 
 TOKENS = 4 << 20  # tokens that a task adds up before it sends blocks on
 WORD_SHARD, PAIR_SHARD, PAIRS_PER_CONTEXT = 64 << 20, 16 << 20, 16  # bytes of text for each shard; bigram shards for each context shard
+GRAMS_PER_CONTEXT = 4  # the same where contexts have two words or more, which are many
+ORDER = 3  # of the registered query
 _U = np.uint64
 _END = _U(0xA5B35705F00DC0DE)  # the end token's hash
 
@@ -64,22 +71,26 @@ def unmix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Arrays:
-    """Where the model lies, and its few sums."""
+    """Where the model lies, and its few sums. Lists by order begin with the words'."""
 
     uri: str
+    order: int = 2
     word_bits: int = 0
     pair_bits: int = 0
-    words: list[int] = field(default_factory=list)  # in each shard
-    contexts: int = 1  # words in each context shard
+    sizes: list[list[int]] = field(default_factory=list)  # by order below the highest: n-grams in each shard
+    contexts: list[int] = field(default_factory=list)  # by order below the highest: n-grams in each context shard
     tokens: int = 0
     pairs: int = 0
-    pair_discounts: tuple[float, ...] = (0.0, 0.0, 0.0)
-    word_discounts: tuple[float, ...] = (0.0, 0.0, 0.0)
+    discounts: list[tuple[float, ...]] = field(default_factory=list)  # by order
     left: float = 0.0  # what the discounts of unigrams leave
 
+    def many(self, n: int) -> int:
+        """Distinct n-grams; also the number of the one that is all beginning."""
+        return sum(self.sizes[n - 1])
+
     @property
     def vocabulary(self) -> int:
-        return sum(self.words)
+        return self.many(1)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -122,13 +133,30 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(out.reshape(-1).view(_U), dtype=_U)
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in a byte each, 255 for larger ones; then the larger ones' places and counts, and how many there are."""
+    large = np.flatnonzero(counts >= 255)
+    return b"".join([np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype("<i8").tobytes(), counts[large].astype("<i8").tobytes(), len(large).to_bytes(8, "little")])
+
+
+def _counts(data: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """What _small() has packed: all counts, or those at some places."""
+    many = int.from_bytes(data[-8:].tobytes(), "little")
+    n = len(data) - 8 - 16 * many
+    got = (data[:n] if at is None else data[:n][at]).astype(np.int64)
+    if many:
+        large = np.frombuffer(data[n:-8].tobytes(), "<i8")
+        big = np.flatnonzero(got == 255)
+        got[big] = large[many:][np.searchsorted(large[:many], big if at is None else at[big])]
+    return got
+
+
+def _blocks(keys: np.ndarray, counts: np.ndarray | None, bits: int) -> pa.RecordBatch:
     """A row for each shard that gets any of the sorted keys."""
-    ends = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else np.zeros(0, np.int64)
-    cuts = [0, *ends.tolist(), len(keys)]
+    cuts = _cuts(keys, bits)
     some = [(s, a, b) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     return pa.RecordBatch.from_pydict(
-        {"shard": pa.array([s for s, _, _ in some], pa.int64()), "keys": pa.array([packed(keys[a:b]) for _, a, b in some], pa.binary()), "counts": pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in some], pa.binary())}
+        {"shard": pa.array([s for s, _, _ in some], pa.int64()), "keys": pa.array([packed(keys[a:b]) for _, a, b in some], pa.binary()), "counts": pa.array([b"" if counts is None else _small(counts[a:b]) for _, a, b in some], pa.binary())}
     )
 
 
@@ -162,15 +190,14 @@ def _count_words(bits: int):
 
 def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([unpacked(x) for x in group["keys"].to_pylist()])
-    counts = np.frombuffer(b"".join(group["counts"].to_pylist()), "<u4").astype(np.int64)
-    return _add_up(keys, counts)
+    return _add_up(keys, np.concatenate([_counts(np.frombuffer(x, np.uint8)) for x in group["counts"].to_pylist()]))
 
 
 def _write_words(uri: str):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         keys, counts = _merged(group)
-        Store(uri).write(f"word-{shard:07d}", [keys.tobytes(), counts.tobytes()])
+        Store(uri).write(f"gram1-{shard:07d}", [keys.tobytes(), _small(counts), len(keys).to_bytes(8, "little")])
         return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
     return run
@@ -190,179 +217,254 @@ def _mapped(uri: str, name: str) -> np.ndarray:
     return np.memmap(f, np.uint8, "r")
 
 
-def _find(uri: str, kind: str, bits: int, sizes: list[int] | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in all shards or -1, count or 0) of each of the sorted distinct keys, in word or pair files."""
-    place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+def _cuts(keys: np.ndarray, bits: int) -> list[int]:
     ends = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else np.zeros(0, np.int64)
-    cuts, base = [0, *ends.tolist(), len(keys)], 0
+    return [0, *ends.tolist(), len(keys)]
+
+
+def _find(m: Arrays, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number or -1, count or 0) of each of the sorted distinct keys of n-grams.
+
+    Numbers are for orders below the highest, counts for words and the highest order.
+    """
+    place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+    sizes, cuts, base = m.sizes[n - 1] if n < m.order else None, _cuts(keys, m.word_bits if n == 1 else m.pair_bits), 0
     for shard, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if b > a and (sizes is None or sizes[shard]):
             try:
-                data = _mapped(uri, f"{kind}-{shard:07d}")
+                data = _mapped(m.uri, f"gram{n}-{shard:07d}")
             except FileNotFoundError:
                 continue
-            if kind == "word":
-                n = len(data) // 16
-                counts = data[8 * n :].view("<i8")
-            else:
-                many = int.from_bytes(data[-8:].tobytes(), "little")
-                n = (len(data) - 8 - 16 * many) // 9
-                counts, large = data[8 * n : 9 * n], np.frombuffer(data[9 * n : 9 * n + 16 * many].tobytes(), "<i8")
-            known = data[: 8 * n].view(_U)
-            at = np.minimum(np.searchsorted(known, keys[a:b]), n - 1)
+            size = int.from_bytes(data[-8:].tobytes(), "little")
+            known = data[: 8 * size].view(_U)
+            at = np.minimum(np.searchsorted(known, keys[a:b]), size - 1)
             hit = known[at] == keys[a:b]
             place[a:b] = np.where(hit, base + at, -1)
-            got = counts[at].astype(np.int64)
-            if kind == "pair" and many:
-                big = np.flatnonzero(got == 255)
-                got[big] = large[many:][np.searchsorted(large[:many], at[big])]
-            count[a:b] = np.where(hit, got, 0)
+            if n == 1 or n == m.order:
+                count[a:b] = np.where(hit, _counts(data[8 * size : -8], at), 0)
         base += sizes[shard] if sizes is not None else 0
     return place, count
 
 
-def _numbered(m: Arrays, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words' numbers, their counts, index of each token's word, index of the word before it).
+def _starts(at: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], at[1:] != at[:-1]])
 
-    The last index stands for a text's beginning.
-    """
+
+def _before(numbers: np.ndarray, starts: np.ndarray, beginning: int) -> np.ndarray:
+    """The number of the n-gram that ends a token earlier."""
+    before = np.concatenate([[0], numbers[:-1]])
+    before[starts] = beginning
+    return before
+
+
+def _keys(before: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams that two numbers of the order below stand for."""
+    return mix((before.astype(_U) << _U(32)) | numbers.astype(_U))
+
+
+def _look_up(m: Arrays, n: int, before: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_find() for every token, whatever is unknown in the order below."""
+    place, count = np.full(len(numbers), -1, np.int64), np.zeros(len(numbers), np.int64)
+    known = (before >= 0) & (numbers >= 0)
+    distinct, inverse = np.unique(_keys(before[known], numbers[known]), return_inverse=True)
+    found = _find(m, n, distinct)
+    place[known], count[known] = found[0][inverse], found[1][inverse]
+    return place, count
+
+
+def _numbered(m: Arrays, at: np.ndarray, h: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(for each order up to one: the number, or -1, of the n-gram that ends at each token; the words' counts)."""
     words, of = np.unique(h, return_inverse=True)
-    place, count = _find(m.uri, "word", m.word_bits, m.words, words)
-    before = np.concatenate([[0], of[:-1]])
-    before[np.concatenate([[True], at[1:] != at[:-1]])] = len(words)
-    return np.append(place, m.vocabulary), np.append(count, 0), of, before
+    place, count = _find(m, 1, words)
+    out, starts = [place[of]], _starts(at)
+    for n in range(2, order + 1):
+        out.append(_look_up(m, n, _before(out[-1], starts, m.many(n - 1)), out[-1])[0])
+    return out, count[of]
+
+
+def _count_grams(m: Arrays, n: int):
+    """Blocks of n-grams; with counts if the order is the highest."""
 
+    def block(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = _add_up(np.concatenate(held))
+        return _blocks(keys, counts if n == m.order else None, m.pair_bits)
 
-def _count_pairs(m: Arrays):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, some = [], 0
         for _, texts in slices(batches):
             at, h = _token_hashes(texts)
-            place, _, of, before = _numbered(m, at, h)
-            held.append(mix((place[before].astype(_U) << _U(32)) | place[of].astype(_U)))
-            n += len(h)
-            if n >= TOKENS:
-                yield _blocks(*_add_up(np.concatenate(held)), m.pair_bits)
-                held, n = [], 0
-        if n:
-            yield _blocks(*_add_up(np.concatenate(held)), m.pair_bits)
+            numbers = _numbered(m, at, h, n - 1)[0][-1]
+            held.append(_keys(_before(numbers, _starts(at), m.many(n - 1)), numbers))
+            some += len(h)
+            if some >= TOKENS:
+                yield block(held)
+                held, some = [], 0
+        if some:
+            yield block(held)
 
     return run
 
 
-_SUMS = "range long, ids binary, total binary, ones binary, twos binary, more binary, before binary, n1 long, n2 long, n3 long, n4 long, pairs long"
+def _write_grams(uri: str, n: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        keys = np.unique(np.concatenate([unpacked(x) for x in group["keys"].to_pylist()]))
+        Store(uri).write(f"gram{n}-{shard:07d}", [keys.tobytes(), len(keys).to_bytes(8, "little")])
+        return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(keys)], pa.int64())})
 
+    return run
 
-def _small(counts: np.ndarray) -> list[bytes]:
-    """Counts in a byte each, 255 for larger ones; then the larger ones' places and counts, and how many there are."""
-    large = np.flatnonzero(counts >= 255)
-    return [np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype("<i8").tobytes(), counts[large].astype("<i8").tobytes(), len(large).to_bytes(8, "little")]
 
+_OF_CONTEXT = ("total", "ones", "twos", "more")
+_TALLY = "n1 long, n2 long, n3 long, n4 long, grams long"
+_SUMS = f"range long, ids binary, {', '.join(f'{c} binary' for c in _OF_CONTEXT)}, after binary, before binary, {_TALLY}"
 
-def _write_pairs(m: Arrays):
+
+def _sums(m: Arrays, n: int, keys: np.ndarray, counts: np.ndarray) -> dict[str, pa.Array]:
+    """What n-grams add to the sums of those one word shorter: a row for each range of numbers.
+
+    ids are followed (by distinct words, with the sums of their counts), after are preceded.
+    """
+    both = unmix(keys)
+    u, w = (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.int64)
+    ids, iu = np.unique(u, return_inverse=True)
+    after, before = np.unique(w, return_counts=True)
+    sums = [np.bincount(iu, counts, len(ids)).astype(np.int64), *(np.bincount(iu[x], minlength=len(ids)) for x in (counts == 1, counts == 2, counts > 2))]
+    per = m.contexts[n - 2]
+    edges = np.arange(per, m.many(n - 1) + 1, per)
+    cuts = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in (ids, after)]
+    some = [(r, *x) for r, x in enumerate(zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])) if x[1] > x[0] or x[3] > x[2]]
+    key = lambda x: packed(x.astype(_U)) if len(x) else b""
+    cols = {"range": pa.array([x[0] for x in some], pa.int64()), "ids": pa.array([key(ids[a:b]) for _, a, b, _, _ in some], pa.binary())}
+    cols |= {c: pa.array([_small(s[a:b]) for _, a, b, _, _ in some], pa.binary()) for c, s in zip(_OF_CONTEXT, sums)}
+    cols |= {"after": pa.array([key(after[c:d]) for *_, c, d in some], pa.binary()), "before": pa.array([_small(before[c:d]) for *_, c, d in some], pa.binary())}
+    first = [1] + [0] * (len(some) - 1)
+    return cols | {f"n{k}": pa.array([int(np.count_nonzero(counts == k)) * f for f in first], pa.int64()) for k in (1, 2, 3, 4)} | {"grams": pa.array([len(keys) * f for f in first], pa.int64())}
+
+
+def _write_highest(m: Arrays):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
         keys, counts = _merged(group)
-        Store(m.uri).write(f"pair-{shard:07d}", [keys.tobytes(), *_small(counts)])
-        both = unmix(keys)
-        u, w = (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.int64)
-        ids = np.unique(np.concatenate([u, w]))
-        iu, n = np.searchsorted(ids, u), len(ids)
-        sums = [np.bincount(iu, counts, n), np.bincount(iu[counts == 1], minlength=n), np.bincount(iu[counts == 2], minlength=n), np.bincount(iu[counts > 2], minlength=n), np.bincount(np.searchsorted(ids, w), minlength=n)]
-        cuts = [0, *np.searchsorted(ids, np.arange(m.contexts, m.vocabulary + 1, m.contexts)).tolist(), n]
-        some = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        of = lambda x, t: pa.array([x[a:b].astype(t).tobytes() for _, a, b in some], pa.binary())
-        first = [1] + [0] * (len(some) - 1)
-        once = {f"n{k}": pa.array([int(np.count_nonzero(counts == k)) * f for f in first], pa.int64()) for k in (1, 2, 3, 4)}
-        cols = {"range": pa.array([r for r, _, _ in some], pa.int64()), "ids": of(ids, "<u4"), "total": of(sums[0], "<u8")}
-        cols |= {c: of(x, "<u4") for c, x in zip(("ones", "twos", "more", "before"), sums[1:])}
-        return pa.table(cols | once | {"pairs": pa.array([len(keys) * f for f in first], pa.int64())})
+        Store(m.uri).write(f"gram{m.order}-{key[0].as_py():07d}", [keys.tobytes(), _small(counts), len(keys).to_bytes(8, "little")])
+        return pa.table(_sums(m, m.order, keys, counts))
+
+    return run
+
+
+def _read_grams(m: Arrays, n: int):
+    """The sums of n-grams below the highest order, whose counts are the numbers of distinct words before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard in b.column(0).to_pylist():
+                if size := m.sizes[n - 1][shard]:
+                    base = sum(m.sizes[n - 1][:shard])
+                    keys = np.array(_mapped(m.uri, f"gram{n}-{shard:07d}")[: 8 * size]).view(_U)
+                    yield pa.RecordBatch.from_pydict(_sums(m, n, keys, _context(m, n, np.arange(base, base + size))[4]))
 
     return run
 
 
-def _write_contexts(m: Arrays):
+def _write_contexts(m: Arrays, n: int):
+    """The context arrays of n-grams, from the sums that those one word longer have sent; returns their tallies and its own."""
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
         r = key[0].as_py()
-        low = r * m.contexts
-        n = min(m.contexts, m.vocabulary + 1 - low)
-        out = [np.zeros(n, np.int64) for _ in range(5)]
-        for ids, *sums in zip(*(group[c].to_pylist() for c in ("ids", "total", "ones", "twos", "more", "before"))):
-            at = np.frombuffer(ids, "<u4").astype(np.int64) - low
-            for k, (o, s) in enumerate(zip(out, sums)):
-                o[at] += np.frombuffer(s, "<u8" if k == 0 else "<u4").astype(np.int64)
-        Store(m.uri).write(f"context-{r:07d}", [x.tobytes() for x in out])
-        a = out[4]
-        row = {f"n{k}": pa.array([int(np.count_nonzero(a == k))], pa.int64()) for k in (1, 2, 3, 4)}
-        return pa.table({"range": pa.array([r], pa.int64()), **row, "n3p": pa.array([int(np.count_nonzero(a >= 3))], pa.int64())})
+        low = r * m.contexts[n - 1]
+        out = [np.zeros(min(m.contexts[n - 1], m.many(n) + 1 - low), np.int64) for _ in range(5)]
+        for ids, *sums, after, before in zip(*(group[c].to_pylist() for c in ("ids", *_OF_CONTEXT, "after", "before"))):
+            if ids:
+                at = unpacked(ids).astype(np.int64) - low
+                for o, s in zip(out, sums):
+                    o[at] += _counts(np.frombuffer(s, np.uint8))
+            if after:
+                out[4][unpacked(after).astype(np.int64) - low] += _counts(np.frombuffer(before, np.uint8))
+        parts = [_small(x) for x in out]
+        Store(m.uri).write(f"context{n}-{r:07d}", [*parts, *(len(x).to_bytes(8, "little") for x in parts)])
+        row = {c: pa.array([int(np.sum(group[c].to_numpy()))], pa.int64()) for c in ("n1", "n2", "n3", "n4", "grams")}
+        row |= {f"a{k}": pa.array([int(np.count_nonzero(out[4] == k))], pa.int64()) for k in (1, 2, 3, 4)}
+        return pa.table(row | {"a3p": pa.array([int(np.count_nonzero(out[4] >= 3))], pa.int64())})
 
     return run
 
 
-def train(texts: DataFrame, uri: str) -> Arrays:
+def _sized(m: Arrays, got: list, bits: int, per: int) -> None:
+    """Notes an order's n-grams in each shard, and how many share a context shard."""
+    sizes = [0] * (1 << bits)
+    for r in got:
+        sizes[r.shard] = r.n
+    if sum(sizes) >= 1 << 32:
+        raise OverflowError(f"over four billion distinct {len(m.sizes) + 1}-grams")
+    m.sizes.append(sizes)
+    # context shards keep pace with the shards that send to them, so that each gathers as much at every size
+    m.contexts.append(-(-(sum(sizes) + 1) // max(1, (1 << m.pair_bits) // per)))
+
+
+def train(texts: DataFrame, uri: str, order: int = 2) -> Arrays:
     """Counts the column text and writes the model below uri; only sums and one short row for each shard reach the driver."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = lambda per: max(0, (-(-size // per) - 1).bit_length())
-    m = Arrays(uri, bits(WORD_SHARD), bits(PAIR_SHARD))
+    m = Arrays(uri, order, bits(WORD_SHARD), bits(PAIR_SHARD))
     got = texts.mapInArrow(_count_words(m.word_bits), _BLOCK).groupBy("shard").applyInArrow(_write_words(uri), "shard long, n long, tokens long").collect()
-    m.words = [0] * (1 << m.word_bits)
-    for r in got:
-        m.words[r.shard] = r.n
+    _sized(m, got, m.word_bits, PAIRS_PER_CONTEXT)
     m.tokens = sum(r.tokens for r in got)
-    if m.vocabulary >= 1 << 32:
-        raise OverflowError("over four billion distinct words")
-    # context shards keep pace with the bigram shards that send to them, so that each gathers as much at every size
-    m.contexts = -(-(m.vocabulary + 1) // max(1, (1 << m.pair_bits) // PAIRS_PER_CONTEXT))
-    sums = cut(texts.mapInArrow(_count_pairs(m), _BLOCK).groupBy("shard").applyInArrow(_write_pairs(m), _SUMS))
-    k = sums.agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "pairs"))).first()
-    m.pairs = k.pairs or 0
-    m.pair_discounts = discounts([k.n1 or 0, k.n2 or 0, k.n3 or 0, k.n4 or 0])
-    got = sums.drop("n1", "n2", "n3", "n4", "pairs").groupBy("range").applyInArrow(_write_contexts(m), "range long, n1 long, n2 long, n3 long, n4 long, n3p long").collect()
-    n = {c: sum(r[c] for r in got) for c in ("n1", "n2", "n3", "n4", "n3p")}
-    m.word_discounts = discounts([n["n1"], n["n2"], n["n3"], n["n4"]])
-    d = m.word_discounts
-    m.left = (d[0] * n["n1"] + d[1] * n["n2"] + d[2] * n["n3p"]) / m.pairs if m.pairs else 1.0
+    for n in range(2, order):
+        got = texts.mapInArrow(_count_grams(m, n), _BLOCK).groupBy("shard").applyInArrow(_write_grams(uri, n), "shard long, n long").collect()
+        _sized(m, got, m.pair_bits, GRAMS_PER_CONTEXT)
+    sums = texts.mapInArrow(_count_grams(m, order), _BLOCK).groupBy("shard").applyInArrow(_write_highest(m), _SUMS)
+    for n in range(order, 1, -1):
+        got = sums.groupBy("range").applyInArrow(_write_contexts(m, n - 1), f"{_TALLY}, a1 long, a2 long, a3 long, a4 long, a3p long").collect()
+        k = {c: sum(r[c] for r in got) for c in ("n1", "n2", "n3", "n4", "grams", "a1", "a2", "a3", "a4", "a3p")}
+        m.discounts.insert(0, discounts([k[f"n{i}"] for i in (1, 2, 3, 4)]))
+        if n > 2:
+            shards = 1 << m.pair_bits
+            sums = texts.sparkSession.range(0, shards, 1, shards).mapInArrow(_read_grams(m, n - 1), _SUMS)
+    m.pairs = k["grams"]
+    d = discounts([k[f"a{i}"] for i in (1, 2, 3, 4)])
+    m.discounts.insert(0, d)
+    m.left = (d[0] * k["a1"] + d[1] * k["a2"] + d[2] * k["a3p"]) / m.pairs if m.pairs else 1.0
     Store(uri).write("model.json", [json.dumps(asdict(m)).encode()])
     return m
 
 
-def _context(m: Arrays, ids: np.ndarray) -> np.ndarray:
-    """Five rows of sums for word numbers (-1: zeros)."""
-    out = np.zeros((5, len(ids)), np.int64)
-    order = np.argsort(ids, kind="stable")
-    s = ids[order]
-    for r in np.unique(s[s >= 0] // m.contexts).tolist():
-        a, b = np.searchsorted(s, [max(0, r * m.contexts), (r + 1) * m.contexts])
+def _context(m: Arrays, n: int, ids: np.ndarray) -> np.ndarray:
+    """Five rows of sums for numbers of n-grams (-1: zeros)."""
+    distinct, inverse = np.unique(ids, return_inverse=True)
+    out, per = np.zeros((5, len(distinct)), np.int64), m.contexts[n - 1]
+    for r in np.unique(distinct[distinct >= 0] // per).tolist():
+        a, b = np.searchsorted(distinct, [max(0, r * per), (r + 1) * per])
         try:
-            data = _mapped(m.uri, f"context-{r:07d}").view(np.int64).reshape(5, -1)
+            data = _mapped(m.uri, f"context{n}-{r:07d}")
         except FileNotFoundError:
             continue
-        out[:, order[a:b]] = data[:, s[a:b] - r * m.contexts]
-    return out
+        end = 0
+        for k, length in enumerate(np.frombuffer(data[-40:].tobytes(), "<i8").tolist()):
+            out[k, a:b] = _counts(data[end : end + length], distinct[a:b] - r * per)
+            end += length
+    return out[:, inverse]
 
 
 def score(m: Arrays, texts: pa.Array) -> dict[str, np.ndarray]:
     """n_tokens, n_known, base_score and score of each text."""
-    n = len(texts)
+    size = len(texts)
     at, h = _token_hashes(texts)
-    place, count, of, before = _numbered(m, at, h)
-    total, ones, twos, more, left_of = _context(m, place)
-    d = np.array([0.0, *m.word_discounts])
-    a = left_of.astype(float)
-    p = np.where(place >= 0, np.maximum(0, a - d[np.minimum(left_of, 3)]), 0) / max(1, m.pairs) + m.left / (m.vocabulary + 1)
-    known = (place[before] >= 0) & (place[of] >= 0)
-    key = mix((place[before].astype(_U) << _U(32)) | place[of].astype(_U))
-    seen = np.zeros(len(h), np.int64)
-    distinct, inverse = np.unique(key[known], return_inverse=True)
-    seen[known] = _find(m.uri, "pair", m.pair_bits, None, distinct)[1][inverse]
-    d = np.array([0.0, *m.pair_discounts])
-    taken = d[1] * ones + d[2] * twos + d[3] * more
-    c = total[before].astype(float)
-    high = np.maximum(0, seen - d[np.minimum(seen, 3)]) + taken[before] * p[of]
-    full = np.log10(np.where(c > 0, high / np.maximum(1, c), p[of]))
-    base = np.log10((count[of] + 1) / (m.tokens + m.vocabulary + 1))
-    add = lambda x: np.bincount(at, x, n)
-    return {"n_tokens": np.bincount(at, minlength=n), "n_known": np.bincount(at[place[of] >= 0], minlength=n), "base_score": add(base), "score": add(full)}
+    numbers, count = _numbered(m, at, h, m.order - 1)
+    starts, known = _starts(at), numbers[0] >= 0
+    seen = _context(m, 1, numbers[0])[4]
+    less = lambda n, x: np.maximum(0, x - np.array([0.0, *m.discounts[n - 1]])[np.minimum(x, 3)])
+    p = np.where(known, less(1, seen), 0) / max(1, m.pairs) + m.left / (m.vocabulary + 1)
+    for n in range(2, m.order + 1):
+        before = _before(numbers[n - 2], starts, m.many(n - 1))
+        total, ones, twos, more, _ = _context(m, n - 1, before)
+        seen = _context(m, n, numbers[n - 1])[4] if n < m.order else _look_up(m, n, before, numbers[n - 2])[1]
+        d = m.discounts[n - 1]
+        taken = d[0] * ones + d[1] * twos + d[2] * more
+        p = np.where(total > 0, (less(n, seen) + taken * p) / np.maximum(1, total), p)
+    base = np.log10((count + 1) / (m.tokens + m.vocabulary + 1))
+    add = lambda x: np.bincount(at, x, size)
+    return {"n_tokens": np.bincount(at, minlength=size), "n_known": np.bincount(at[known], minlength=size), "base_score": add(base), "score": add(np.log10(p))}
 
 
 def _scored(m: Arrays):
@@ -380,8 +482,8 @@ def _scored(m: Arrays):
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7 = 2, false)"
 
 
-def op1_kneser_ney(docs: DataFrame) -> DataFrame:
+def op1_kneser_ney(docs: DataFrame, order: int = 2) -> DataFrame:
     """Scores of all documents by a model of those that aren't held out."""
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    m = train(t.where("not held_out").select("text"), folder(docs.sparkSession, "kneser-ney"))
+    m = train(t.where("not held_out").select("text"), folder(docs.sparkSession, "kneser-ney"), order)
     return t.mapInArrow(_scored(m), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,7 @@ def _tokenized(operator: Callable[[DataFrame, str], DataFrame], file: str) -> Ca
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_kneser_ney": _over("documents", kneser_ney.op1_kneser_ney),
+    "op1_kneser_ney": _over("documents", functools.partial(kneser_ney.op1_kneser_ney, order=kneser_ney.ORDER)),
     "op2_simhash": _over("documents", simhash.op2_simhash),
     "op3_warc": _over("pages", warc.op3_warc),
     "op4_lines": _over("documents", lines.op4_lines),

@@ -156,6 +156,53 @@ def test_kneser_ney_parts():
         assert (kneser_ney.unpacked(kneser_ney.packed(k)) == k).all()
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_kneser_ney_of_higher_orders_equals_plain_counting(docs, monkeypatch, order):
+    for k, v in (("WORD_SHARD", 1 << 16), ("PAIR_SHARD", 1 << 15), ("PAIRS_PER_CONTEXT", 2), ("GRAMS_PER_CONTEXT", 2), ("TOKENS", 5000)):
+        monkeypatch.setattr(kneser_ney, k, v)
+    end, begin = "</s> ", "<s> "
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = lambda t: [begin] * (order - 1) + [low(x) for x in ascii_words(t)] + [end]
+    c = {order: Counter()}
+    for i, t in texts():
+        if not held(i):
+            w = tokens(t)
+            c[order].update(tuple(w[j - order + 1 : j + 1]) for j in range(order - 1, len(w)))
+    for k in range(order - 1, 0, -1):
+        c[k] = Counter(g[1:] for g in c[k + 1])
+    d = {k: (0, *kneser_ney.discounts([Counter(c[k].values())[i] for i in (1, 2, 3, 4)])) for k in c}
+    total, lost = Counter(), defaultdict(float)
+    for k in c:
+        for g, x in c[k].items():
+            total[k, g[:-1]] += x
+            lost[k, g[:-1]] += d[k][min(3, x)]
+
+    def p(g):
+        k = len(g)
+        below = p(g[1:]) if k > 1 else 1 / (len(c[1]) + 1)
+        x = c[k][g]
+        return (x - d[k][min(3, x)] + lost[k, g[:-1]] * below) / total[k, g[:-1]] if total[k, g[:-1]] else below
+
+    seen = max(c[order], key=c[order].get)[:-1]
+    assert abs(sum(p((*seen, *w)) for w in c[1]) + p((*seen, "unseen word")) - 1) < 1e-9
+    want = []
+    for i, t in texts():
+        w = tokens(t)
+        want.append((i, len(w) - order + 1, round(sum(math.log10(p(tuple(w[j - order + 1 : j + 1]))) for j in range(order - 1, len(w))), 5)))
+    got = [(r.doc_id, r.n_tokens, round(r.score, 5)) for r in kneser_ney.op1_kneser_ney(docs, order).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_kneser_ney_is_registered_with_longer_contexts(spark, tmp_path):
+    from termloom.llm import queries
+
+    rows_ = [(i, "a b c a b c x b d x b d") for i in range(40)] + [(100 + i, t) for i in range(50) for t in ("a b c", "a b d")]
+    spark.createDataFrame(rows_, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in queries.QUERIES["op1_kneser_ney"](spark, str(tmp_path)).collect()}
+    two = {r.doc_id: r.score for r in kneser_ney.op1_kneser_ney(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert all(got[i] > two[i] for i in range(40))
+
+
 def test_kneser_ney_of_nothing(none):
     assert kneser_ney.op1_kneser_ney(none).count() == 0
 
