@@ -26,6 +26,14 @@ def nearest(df: DataFrame, query: list[float], k: int | None = 10, most: int | N
     return out if k is None else out.limit(k if most is None else min(k, most))
 
 
+def nearest_many(df: DataFrame, queries: DataFrame, k: int = 10, id_: str = "id", column: str = "embedding") -> DataFrame:
+    """(query_id, id, similarity): the k rows most like each of many vectors (query_id and column), exactly; ties by id."""
+    q = queries.select("query_id", F.col(column).alias("__v"))
+    near = df.select(id_, column).crossJoin(q).select("query_id", id_, cosine(F.col(column), F.col("__v")).alias("similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), id_)
+    return near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
+
+
 def embedded(concepts: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
     """(id, preferred_term, hierarchy, embedding): each concept's text through a model that is called on executors, batch texts at a time."""
     src = concepts.select("id", "preferred_term", "hierarchy", embed_text().alias("text"))

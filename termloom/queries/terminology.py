@@ -83,6 +83,12 @@ def bulk_lookup(t: Terminology, table):
     return t.lookup(ids).select("id", "fsn")
 
 
+@query()
+def bulk_lookup_all(t: Terminology, table):
+    """Every part that any line item names."""
+    return t.lookup(table("lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("id"))).select("id", "fsn")
+
+
 @query("SELECT id, preferred_term FROM concepts WHERE preferred_term ILIKE '%supplier%1'")
 def ilike_terms(t: Terminology, _):
     return L.term_like(t.concepts, "%supplier%1").select("id", "preferred_term")
@@ -265,12 +271,23 @@ def closure_self(t: Terminology, _):
     return H.closure(t.isa, t.concepts, include_self=True).where("ancestor_id like 'N%'")
 
 
+@query()
+def closure_self_all(t: Terminology, _):
+    return H.closure(t.isa, t.concepts, include_self=True)
+
+
 @query("SELECT child_id AS a, p AS b, EXISTS (SELECT 1 FROM closed WHERE descendant_id = child_id AND ancestor_id = p) AS subsumed FROM (SELECT child_id, unnest(['R1', 'PART', child_id]) AS p FROM isa WHERE child_id LIKE 'N%')")
 def subsumes(t: Terminology, _):
     pairs = t.isa.where("child_id like 'N%'").select(F.col("child_id").alias("a"), F.explode(F.array(F.lit("R1"), F.lit("PART"), F.col("child_id"))).alias("b"))
     return t.is_a(pairs)
 
 
+@query()
+def subsumes_all(t: Terminology, _):
+    """Every edge's child against a region, the product root, itself and its parent."""
+    return t.is_a(t.isa.select(F.col("child_id").alias("a"), F.explode(F.array(F.lit("R1"), F.lit("PART"), F.col("child_id"), F.col("parent_id"))).alias("b")))
+
+
 @query("SELECT descendant_id AS id, depth FROM closed WHERE ancestor_id = 'R2' AND depth <= 2")
 def within_hops(t: Terminology, _):
     return H.within(t.closed, "R2", 2)
@@ -292,6 +309,11 @@ def descendants_or_self_counts(t: Terminology, _):
     return H.below_or_self_counts(t.closed, t.concepts.where("id like 'N%' or id like 'SEG%'"))
 
 
+@query()
+def descendants_or_self_counts_all(t: Terminology, _):
+    return H.below_or_self_counts(t.closed, t.concepts)
+
+
 @query("SELECT DISTINCT s.id FROM supplied s WHERE s.id IN (SELECT descendant_id FROM closed WHERE ancestor_id = 'PART') AND s.target IN (SELECT descendant_id FROM closed WHERE ancestor_id = 'R1')")
 def refined(t: Terminology, _):
     return H.refined(t.concepts, t.closed, "PART", "supplied_by", "R1")
@@ -452,6 +474,13 @@ def cosine_topk(t, table):
     return V.nearest(e, v, 10, id_="vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def cosine_topk_batch(t, table):
+    """The ten rows most like each vector whose id 50 divides."""
+    e = table("embeddings")
+    return V.nearest_many(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, id_="vec_id").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT label, round(avg(s), 6) AS mean_similarity, round(max(s), 6) AS max_similarity, count(*) AS n FROM (SELECT label, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS s FROM embeddings) GROUP BY label", base=False)
 def cosine_by_label(t, table):
     e, v = _vectors(table)

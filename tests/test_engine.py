@@ -301,3 +301,56 @@ def test_artefacts_and_catalogue(spark, built, tmp_path):
         z.writestr("top/Snapshot/x.txt", "1")
         z.writestr("../evil.txt", "2")
     assert release.unpacked(str(tmp_path / "Rel.ZIP"), str(tmp_path / "stage")).endswith("top") and not (tmp_path / "stage" / "evil.txt").exists() and not (tmp_path / "evil.txt").exists()
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_lookups_and_closures_of_the_whole_table(spark):
+    from termloom import surrogate
+    from termloom.queries.terminology import Q
+
+    got = lambda name: sorted(tuple(r) for r in Q[name](spark, SMALL).collect())
+    name = {f"P{r.p_partkey}": f"{r.p_name} (part)" for r in spark.read.parquet(f"{SMALL}/part.parquet").collect()}
+    asked = {f"P{r.l_partkey}" for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").collect()}
+    assert len(asked) > 50 and got("bulk_lookup_all") == sorted((i, name[i]) for i in asked if i in name)
+
+    t = surrogate.terminology(spark, SMALL)
+    ids_ = [r.id for r in t.concepts.select("id").collect()]
+    edges = [(r.child_id, r.parent_id) for r in t.isa.select("child_id", "parent_id").collect()]
+    up = {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+    closed = {}
+    for i in ids_:
+        level, depth = {i}, 0
+        while level:
+            for x in level:
+                closed.setdefault((x, i), depth)
+            level, depth = {p for x in level for p in up.get(x, ()) if (p, i) not in closed}, depth + 1
+    assert got("closure_self_all") == sorted((*k, d) for k, d in closed.items())
+    assert got("subsumes_all") == sorted((c, b, c != b and (b, c) in closed) for c, p in edges for b in ("R1", "PART", c, p))
+    below = {}
+    for a, _ in closed:
+        below[a] = below.get(a, 0) + 1
+    assert got("descendants_or_self_counts_all") == sorted((i, below[i]) for i in ids_)
+
+
+def test_vector_search_of_many(spark):
+    import numpy as np
+
+    from termloom.queries.terminology import Q
+
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for i, r in enumerate(rows):
+        if r.vec_id % 50 == 0:
+            s = v @ v[i]
+            want[r.vec_id] = [round(float(x), 5) for x in sorted(s, reverse=True)[:10]]
+    got = {}
+    for r in Q["cosine_topk_batch"](spark, SMALL).collect():
+        got.setdefault(r.query_id, []).append(r.similarity)
+    assert len(got) > 1 and got.keys() == want.keys()
+    assert all(np.allclose(sorted(got[k], reverse=True), want[k], atol=2e-5) and len(got[k]) == 10 for k in want)
