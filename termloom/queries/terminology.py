@@ -565,6 +565,12 @@ def md_concept(t: Terminology, _):
     return t.concepts.where("id like 'C%' or id like 'R%'").select("id", K.markdown().alias("text"))
 
 
+@query()
+def md_concept_all(t: Terminology, _):
+    """The page of every concept, with synonyms and relationships."""
+    return t.concepts.select("id", K.markdown().alias("text"))
+
+
 @query(
     """SELECT hierarchy, count(*) AS n, md5('# ' || hierarchy || chr(10) || chr(10) || '> ' || count(*) || ' concepts in this hierarchy.' || chr(10) || chr(10) || string_agg('---' || chr(10) || chr(10) || '## ' || preferred_term || ' `' || id || '`' || chr(10) || chr(10) || '**FSN:** ' || fsn || '  ' || chr(10) || chr(10), '' ORDER BY id)) AS digest
  FROM concepts WHERE hierarchy <> 'Part' GROUP BY hierarchy"""
@@ -573,6 +579,12 @@ def md_hierarchy(t: Terminology, _):
     return K.hierarchy_pages(t.concepts.where("hierarchy <> 'Part'")).select("hierarchy", "n", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query()
+def md_hierarchy_all(t: Terminology, _):
+    """The page of every hierarchy, that of the products too."""
+    return K.hierarchy_pages(t.concepts).select("hierarchy", "n", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("SELECT id, '[\"' || array_to_string(hierarchy_path, '\",\"') || '\"]' AS hierarchy_path, children_count, active FROM concepts")
 def parquet_flat(t: Terminology, _):
     return K.flat(t.concepts).select("id", "hierarchy_path", "children_count", "active")

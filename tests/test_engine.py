@@ -354,3 +354,37 @@ def test_vector_search_of_many(spark):
         got.setdefault(r.query_id, []).append(r.similarity)
     assert len(got) > 1 and got.keys() == want.keys()
     assert all(np.allclose(sorted(got[k], reverse=True), want[k], atol=2e-5) and len(got[k]) == 10 for k in want)
+
+
+def test_pages_of_all_concepts_and_hierarchies(spark):
+    import hashlib
+
+    from termloom import surrogate
+    from termloom.queries.terminology import Q
+
+    records = [r.asDict(recursive=True) for r in surrogate.terminology(spark, SMALL).concepts.collect()]
+    bare = lambda fsn: fsn.rpartition(" (")[0] if " (" in fsn else fsn
+    human = lambda k: (x := k.replace("_", " "))[:1].upper() + x[1:]
+
+    def page(r):
+        path = r["hierarchy_path"]
+        out = f"# {r['preferred_term']}\n\n**SCTID:** {r['id']}  \n**FSN:** {r['fsn']}  \n**Hierarchy:** {' > '.join(path[:-1]) if len(path) > 1 else r['hierarchy']}  \n\n"
+        if r["synonyms"]:
+            out += "## Synonyms\n\n" + "".join(f"- {x}\n" for x in r["synonyms"]) + "\n"
+        if r["attributes"]:
+            out += "## Relationships\n\n" + "".join(f"- **{human(k)}:** {bare(x['fsn'])} [{x['id']}]\n" for k, v in r["attributes"].items() for x in v) + "\n"
+        out += "## Hierarchy\n\n" + "".join("  " * i + (f"- **{x}** *(this concept)*\n" if i == len(path) - 1 else f"- {x}\n") for i, x in enumerate(path))
+        return out + ("\n## Parents\n\n" + "".join(f"- {x['fsn']} `{x['id']}`\n" for x in r["parents"]) if r["parents"] else "")
+
+    def section(r):
+        out = f"---\n\n## {r['preferred_term']} `{r['id']}`\n\n**FSN:** {r['fsn']}  \n" + (f"**Synonyms:** {', '.join(r['synonyms'])}  \n" if r["synonyms"] else "")
+        return out + "".join(f"**{human(k)}:** {', '.join(bare(x['fsn']) for x in v)}  \n" for k, v in r["attributes"].items()) + "\n"
+
+    want = {r["id"]: page(r) for r in records}
+    assert {r.id: r.text for r in Q["md_concept_all"](spark, SMALL).collect()} == want
+    assert {i[0] for i in want} >= set("CRPONS") and any("## Synonyms" in x and "## Relationships" in x for x in want.values())
+    by = {}
+    for r in sorted(records, key=lambda r: r["id"]):
+        by.setdefault(r["hierarchy"], []).append(section(r))
+    pages = {(h, len(x), hashlib.md5(f"# {h}\n\n> {len(x)} concepts in this hierarchy.\n\n{''.join(x)}".encode()).hexdigest()) for h, x in by.items()}
+    assert {tuple(r) for r in Q["md_hierarchy_all"](spark, SMALL).collect()} == pages and "Part" in by
