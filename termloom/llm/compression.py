@@ -5,8 +5,11 @@ its fixed chunks reject repetitive text (ratio above a band) and text that
 does not compress (below it). The limits depend on the length, as short texts
 compress badly whatever they say: BANDS lists (bytes from, lowest, highest).
 A text is rejected if its whole ratio is outside its band, or if over
-CHUNK_SHARE of its full chunks are outside the chunk band. Repetition that a
-whole ratio hides in a long text thus still counts.
+CHUNK_SHARE of its chunks are outside the chunk band. Repetition that a
+whole ratio hides in a long text thus still counts. The rest after the full
+chunks is judged as the text's last CHUNK bytes, so every byte of a text of a
+chunk or more is in some chunk; of a shorter one the whole is the chunk, and
+its band by length holds.
 
 Edge cases: null and empty texts have ratio 0 words and no verdict of their
 own (kept by the bands; the base rule on word counts fails them). Repeated

@@ -108,7 +108,10 @@ def _repeated(at: np.ndarray, h: np.ndarray, n: int, window: int = WINDOW) -> np
 
 
 def packed_sizes(texts: pa.Array, level: int = 3, chunk: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Zstandard sizes of each whole text and, if chunk is given, of each full chunk of so many bytes."""
+    """Zstandard sizes of each whole text and, if chunk is given, of its chunks of so many bytes.
+
+    What is left after the full chunks counts as the text's last so many bytes; a text of less than a chunk has none.
+    """
     z = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
     whole, parts = np.zeros(len(texts), np.int64), []
     data, off = buffers(texts)
@@ -116,5 +119,8 @@ def packed_sizes(texts: pa.Array, level: int = 3, chunk: int = 0) -> tuple[np.nd
         t = data[off[i] : off[i + 1]]
         whole[i] = len(z.compress(t))
         if chunk:
-            parts.append(np.array([len(z.compress(t[k : k + chunk])) for k in range(0, len(t) - chunk + 1, chunk)], np.int64))
+            at = [*range(0, len(t) - chunk + 1, chunk)]
+            if at and len(t) % chunk:
+                at.append(len(t) - chunk)
+            parts.append(np.array([len(z.compress(t[k : k + chunk])) for k in at], np.int64))
     return whole, parts

@@ -529,6 +529,20 @@ def test_pairwise_tells_labels_apart(spark, docs, none):
     assert pairwise.accepted(docs, model).columns == docs.columns
 
 
+def test_compression_judges_what_is_left_after_full_chunks():
+    import base64
+
+    import pyarrow as pa
+
+    good = next(t for t in (prose(s, 2000)[: compression.CHUNK] for s in range(500, 540)) if compression.verdicts(pa.array([t]))[0][0])
+    junk = base64.b64encode(np.random.default_rng(7).bytes(3000)).decode()
+    for tail in (3990, 3600):
+        kept, ratio, out = compression.verdicts(pa.array([good + junk[:tail]]), bands=((0, 0.0, 99.0),))
+        assert not kept[0] and out[0] == 0.5
+    sizes = textstats.packed_sizes(pa.array([good, good + "a", good * 2, good[:-1]]), chunk=compression.CHUNK)[1]
+    assert [len(x) for x in sizes] == [1, 2, 2, 0]
+
+
 def test_compression_counts_and_bands(docs, spark, none):
     r = random.Random(4)
     odd = [(300, "again and again it says so. " * 60), (301, "".join(chr(r.randint(33, 126)) for _ in range(6000))), (302, prose(302, 400)), (303, prose(303, 30))]
