@@ -10,8 +10,12 @@ emptiest sequences are taken apart and their pieces cut to fit. What is left
 of the last one is cut to lengths that are powers of two, which need no
 padding.
 
+The product is whole sequences with their ids and the pieces they are made
+of; where each piece lies, and its checksum, are read off the sequences.
+
 A group's rows hold at most CAPACITY ids each, so a group is bounded by
-PER_GROUP times that; full pieces travel without their ids.
+PER_GROUP times that. Full pieces go to groups of their own, as many as the
+bytes of text ask for, so that long documents don't make groups larger.
 
 Edge cases: null and empty texts consist of the end id; repeated rows are
 packed each; a null id is kept; other columns are ignored; an empty table
@@ -20,7 +24,6 @@ packs to nothing.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,7 +109,8 @@ def pack(sizes: list[int], capacity: int = CAPACITY, slack: float = SLACK) -> li
     return bins
 
 
-_PIECE = "doc_id long, start long, length long, crc long, doc_tokens long, ids binary"
+_PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
+_SEQUENCE = "sequence_id long, ids binary, pieces array<struct<doc_id: long, start: long, length: long, doc_tokens: long, offset: long>>"
 
 
 def _cutter(tokenizer: str, capacity: int, end: int | None):
@@ -114,55 +118,66 @@ def _cutter(tokenizer: str, capacity: int, end: int | None):
         enc = encoder(tokenizer)
         tail = b"" if end is None else end.to_bytes(enc.width, "little")
         for rows, texts in slices(batches):
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [])
             for d, x in zip(rows.column(0).to_pylist(), enc.encode(texts.to_pylist())):
                 x += tail
                 n = len(x) // enc.width
                 for a in range(0, n, capacity):
                     part = x[a * enc.width : (a + capacity) * enc.width]
-                    k = len(part) // enc.width
-                    whole = k == capacity
-                    crc = zlib.crc32(np.frombuffer(part, f"<u{enc.width}").astype("<u4").tobytes()) if whole else None
-                    for c, v in zip(cols, (d, a, k, crc, n, None if whole else part)):
+                    for c, v in zip(cols, (d, a, len(part) // enc.width, n, part)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["doc_id", "start", "length", "crc", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
     return run
 
 
-def _packer(width: int, capacity: int, slack: float, tokens: bool):
+def _packer(width: int, capacity: int, slack: float):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         g = key[0].as_py()
         t = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
-        doc, start, size, crc, total = (t[c].to_pylist() for c in ("doc_id", "start", "length", "crc", "doc_tokens"))
+        doc, start, size, total = (t[c].to_pylist() for c in ("doc_id", "start", "length", "doc_tokens"))
         ids = t["ids"]
         rests = [i for i, n in enumerate(size) if n < capacity]
-        out: list[tuple] = [(doc[i], start[i], size[i], crc[i], total[i], (g << 32) + i, 0, None) for i in range(len(size) - len(rests))]
-        base = len(out)
-        for k, parts in enumerate(pack([size[i] for i in rests], capacity, slack)):
-            at = 0
-            for j, a, n in parts:
-                i = rests[j]
-                raw = np.frombuffer(ids[i].as_py(), f"<u{width}")[a : a + n].astype("<u4").tobytes()
-                out.append((doc[i], start[i] + a, n, zlib.crc32(raw), total[i], (g << 32) + base + k, at, raw if tokens else None))
+        sequences = [[(i, 0, capacity)] for i in range(len(size) - len(rests))]
+        sequences += [[(rests[j], a, n) for j, a, n in parts] for parts in pack([size[i] for i in rests], capacity, slack)]
+        whole, pieces = [], []
+        for parts in sequences:
+            whole.append(b"".join(np.frombuffer(ids[i].as_py(), f"<u{width}")[a : a + n].astype("<u4").tobytes() for i, a, n in parts))
+            at, held = 0, []
+            for i, a, n in parts:
+                held.append({"doc_id": doc[i], "start": start[i] + a, "length": n, "doc_tokens": total[i], "offset": at})
                 at += n
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-        cols = list(zip(*out)) if out else [()] * 8
-        return pa.table([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())][: 8 if tokens else 7], names[: 8 if tokens else 7])
+            pieces.append(held)
+        piece = pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "offset")])
+        return pa.table({"sequence_id": pa.array([(g << 32) + i for i in range(len(whole))], pa.int64()), "ids": pa.array(whole, pa.binary()), "pieces": pa.array(pieces, pa.list_(piece))})
 
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, per_group: int = PER_GROUP, end: int | None = END, slack: float = SLACK, tokens: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ids of cut rests, 4 bytes each, if tokens."""
+def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, per_group: int = PER_GROUP, end: int | None = END, slack: float = SLACK) -> DataFrame:
+    """A row for each sequence: sequence_id, ids (4 bytes each), and the pieces in it: doc_id, start, length, doc_tokens, offset."""
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = -(-docs.count() // per_group) or 1
-    width = encoder(tokenizer).width
-    cut = t.mapInArrow(_cutter(tokenizer, capacity, end), _PIECE).withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(groups)))
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if tokens else "")
-    return cut.groupBy("g").applyInArrow(_packer(width, capacity, slack, tokens), schema)
+    rows, size = t.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups, full = -(-rows // per_group) or 1, -(-(size or 0) // (per_group * capacity)) or 1
+    by = F.xxhash64("doc_id", "start", "doc_tokens")
+    g = F.when(F.col("length") < capacity, F.pmod(by, F.lit(groups))).otherwise(groups + F.pmod(by, F.lit(full)))
+    cut = t.mapInArrow(_cutter(tokenizer, capacity, end), _PIECE).withColumn("g", g)
+    return cut.groupBy("g").applyInArrow(_packer(encoder(tokenizer).width, capacity, slack), _SEQUENCE)
+
+
+def packed(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, per_group: int = PER_GROUP, end: int | None = END, slack: float = SLACK, tokens: bool = False) -> DataFrame:
+    """A row for each piece of sequences(): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; its ids, 4 bytes each, if tokens."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if tokens else [])]
+
+    def piece(p):
+        own = F.substring(F.col("ids"), (p["offset"] * 4 + 1).cast("int"), (p["length"] * 4).cast("int"))
+        of = [p["doc_id"].alias("doc_id"), p["start"].alias("start"), p["length"].alias("length"), F.crc32(own).alias("ids_crc32"), p["doc_tokens"].alias("doc_tokens"), F.col("sequence_id").alias("sequence_id"), p["offset"].alias("offset")]
+        return F.struct(*of, *([own.alias("ids")] if tokens else []))
+
+    whole = sequences(docs, tokenizer, capacity, per_group, end, slack)
+    return whole.select(F.explode(F.transform("pieces", piece)).alias("p")).select(*[F.col("p").getField(c).alias(c) for c in names])
 
 
 def op6_packing(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
+    """Where each piece of each document lies in the packed sequences, with the checksum of its ids there."""
     return packed(docs, tokenizer)

@@ -426,6 +426,26 @@ def test_packing_loses_nothing(docs, none):
     assert packing.op6_packing(none, path).count() == 0
 
 
+def test_packing_yields_whole_sequences(docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = defaultdict(list)
+    for i, x in ids_of("word_bpe_49k.json", 2):
+        ids[i].append(x)
+    seq = {r.sequence_id: r for r in packing.sequences(docs, path, per_group=25).collect()}
+    full, held = 0, Counter()
+    for r in seq.values():
+        x = np.frombuffer(r.ids, "<u4")
+        assert len(x) == sum(p.length for p in r.pieces) <= packing.CAPACITY
+        full += len(x) == packing.CAPACITY and len(r.pieces) == 1
+        for p in r.pieces:
+            assert any(len(y) == p.doc_tokens and (y[p.start : p.start + p.length] == x[p.offset : p.offset + p.length]).all() for y in ids[p.doc_id])
+            held[p.doc_id] += p.length
+    assert full > 1 and held == {i: sum(map(len, v)) for i, v in ids.items()}
+    for r in packing.packed(docs, path, per_group=25, tokens=True).collect():
+        own = seq[r.sequence_id].ids[4 * r.offset : 4 * (r.offset + r.length)]
+        assert bytes(r.ids) == own and r.ids_crc32 == zlib.crc32(own)
+
+
 # --- 7 ------------------------------------------------------------------------------
 
 
