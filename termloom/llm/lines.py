@@ -1,12 +1,13 @@
 """Substring dedup by hashed lines, paragraphs and sentences.
 
 A text is cut into units: lines (or paragraphs, cut at blank lines), and the
-sentences of each (a short one together with its neighbours), so that a passage
-set into the middle of other text is found too. A unit of at least MIN_WORDS
-words is normalised (white space collapsed,
-lower case) and hashed to 128 bits. Digests are grouped over the
+sentences of each, so that a passage set into the middle of other text is found
+too. One of fewer than MIN_WORDS words goes together with its neighbours, so
+that passages in short lines are found. A unit is normalised (white space
+collapsed, lower case) and hashed to 128 bits. Digests are grouped over the
 whole corpus; the occurrence that ranks earliest by (doc_id, text hash,
-start) stays and all others are removed. Spans are code-point offsets into the
+start) stays and all others are removed, but for those that overlap it, as in
+a short line said over and over. Spans are code-point offsets into the
 original text, half open; a unit takes the white space that follows it along.
 
 Only digests and offsets are shuffled for the grouping, pre-aggregated before
@@ -38,25 +39,33 @@ _OUTER = {"line": re.compile(r"[^\n]*\n+|[^\n]+"), "paragraph": re.compile(r"(?s
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+[^\s.!?]*\s*|[^.!?]+")
 
 
+def _joined(parts: list[tuple[int, int, list[str]]], i: int, min_words: int) -> tuple[int, int, list[str]]:
+    """(first, last, words) of a part and, while it is short, of those that follow it or, at the end, that precede it."""
+    j, k, run = i, i, parts[i][2]
+    while len(run) < min_words and k + 1 < len(parts):
+        k += 1
+        run = run + parts[k][2]
+    while len(run) < min_words and j:
+        j -= 1
+        run = parts[j][2] + run
+    return j, k, run
+
+
 def units(text: str, by: str = "line", min_words: int = MIN_WORDS, sentences: bool = True) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of each unit of a text that has words enough."""
-    for m in _OUTER[by].finditer(text):
-        words = m.group().lower().split()
+    """(start, end, digest) of each unit of a text that has words enough, a short one together with its neighbours."""
+    outer = [(m.start(), m.end(), m.group().lower().split()) for m in _OUTER[by].finditer(text)]
+    for i, (start, end, words) in enumerate(outer):
         if len(words) < min_words:
+            j, k, run = _joined(outer, i, min_words)
+            if words and len(run) >= min_words:
+                yield outer[j][0], outer[k][1], xxhash.xxh3_128_digest(" ".join(run))
             continue
-        yield m.start(), m.end(), xxhash.xxh3_128_digest(" ".join(words))
+        yield start, end, xxhash.xxh3_128_digest(" ".join(words))
         if not sentences:
             continue
-        inner = [(x.start(), x.end(), x.group().lower().split()) for x in _SENTENCE.finditer(text, m.start(), m.end())]
-        for i in range(len(inner)):
-            # a short sentence goes with those that follow it or, at the end, that precede it
-            j, k, run = i, i, inner[i][2]
-            while len(run) < min_words and k + 1 < len(inner):
-                k += 1
-                run = run + inner[k][2]
-            while len(run) < min_words and j:
-                j -= 1
-                run = inner[j][2] + run
+        inner = [(x.start(), x.end(), x.group().lower().split()) for x in _SENTENCE.finditer(text, start, end)]
+        for n in range(len(inner)):
+            j, k, run = _joined(inner, n, min_words)
             if k - j + 1 < len(inner):
                 yield inner[j][0], inner[k][1], xxhash.xxh3_128_digest(" ".join(run))
 
@@ -115,10 +124,11 @@ def removed_spans(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS,
     """(id, h, spans): what is removed of each document that loses anything; h is xxhash64 of its text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     found = rows.mapInArrow(_unit_rows(by, min_words, sentences), "k1 long, k2 long, id long, h long, start long, end long")
-    rank = F.struct("id", "h", "start")
+    rank = F.struct("id", "h", "start", "end")
     # cut off, so that the join has a plain shuffle on either side and a hot digest's rows can be split
     dup = cut(found.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1").select("k1", "k2", "first"))
-    later = found.join(dup, ["k1", "k2"]).where(~rank.eqNullSafe(F.col("first")))
+    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("start") < F.col("first.end"))
+    later = found.join(dup, ["k1", "k2"]).where(~overlaps)
     return later.groupBy("id", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 

@@ -334,6 +334,15 @@ def test_lines_equal_a_plain_pass(docs, spark, none):
     assert lines.deduplicate(docs).columns == docs.columns and lines.deduplicate(docs).count() == docs.count()
 
 
+def test_passages_in_short_lines_are_found(spark):
+    verse = "".join(f"{a} {b}\n" for a, b in zip(prose(61, 40).split(), prose(62, 40).split()))
+    over = "by to.\n" * 40
+    rows_ = [(1, "A line of five words.\n" + verse), (2, "Some other words come first here.\n" + verse + "And other words come after it.\n"), (3, over), (4, "no\nno"), (5, "And quite other words stand here.\n" + over)]
+    got = {r.doc_id: r.text for r in lines.op4_lines(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert got[1] == rows_[0][1] and got[2] == "Some other words come first here.\nAnd other words come after it.\n"
+    assert got[3] == "by to.\n" * 3 and got[4] == "no\nno" and got[5] == "And quite other words stand here.\n"
+
+
 # --- 5 and 6 ---------------------------------------------------------------------------
 
 
