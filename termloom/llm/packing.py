@@ -15,7 +15,9 @@ of; where each piece lies, and its checksum, are read off the sequences.
 
 A group's rows hold at most CAPACITY ids each, so a group is bounded by
 PER_GROUP times that. Full pieces go to groups of their own, as many as the
-bytes of text ask for, so that long documents don't make groups larger.
+bytes of text ask for, so that long documents don't make groups larger. Rows
+alike in id and text are numbered within a task and spread by that number, so
+they don't meet in one group.
 
 Edge cases: null and empty texts consist of the end id; repeated rows are
 packed each; a null id is kept; other columns are ignored; an empty table
@@ -24,6 +26,7 @@ packs to nothing.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,24 +112,28 @@ def pack(sizes: list[int], capacity: int = CAPACITY, slack: float = SLACK) -> li
     return bins
 
 
-_PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
+_PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary, salt long"
 _SEQUENCE = "sequence_id long, ids binary, pieces array<struct<doc_id: long, start: long, length: long, doc_tokens: long, offset: long>>"
 
 
 def _cutter(tokenizer: str, capacity: int, end: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        from pyspark import TaskContext
+
+        enc, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         tail = b"" if end is None else end.to_bytes(enc.width, "little")
         for rows, texts in slices(batches):
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for d, x in zip(rows.column(0).to_pylist(), enc.encode(texts.to_pylist())):
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            for d, x in zip(rows.column(0).to_pylist(), enc.encode(texts)):
                 x += tail
                 n = len(x) // enc.width
+                again = seen[key := hash((d, x))]
+                seen[key] += 1
                 for a in range(0, n, capacity):
                     part = x[a * enc.width : (a + capacity) * enc.width]
-                    for c, v in zip(cols, (d, a, len(part) // enc.width, n, part)):
+                    for c, v in zip(cols, (d, a, len(part) // enc.width, n, part, again and (task << 32) + again)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.int64())], ["doc_id", "start", "length", "doc_tokens", "ids", "salt"])
 
     return run
 
@@ -159,9 +166,9 @@ def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, per_gro
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, size = t.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     groups, full = -(-rows // per_group) or 1, -(-(size or 0) // (per_group * capacity)) or 1
-    by = F.xxhash64("doc_id", "start", "doc_tokens")
+    by = F.xxhash64("doc_id", "start", "ids", "salt")
     g = F.when(F.col("length") < capacity, F.pmod(by, F.lit(groups))).otherwise(groups + F.pmod(by, F.lit(full)))
-    cut = t.mapInArrow(_cutter(tokenizer, capacity, end), _PIECE).withColumn("g", g)
+    cut = t.mapInArrow(_cutter(tokenizer, capacity, end), _PIECE).withColumn("g", g).drop("salt")
     return cut.groupBy("g").applyInArrow(_packer(encoder(tokenizer).width, capacity, slack), _SEQUENCE)
 
 

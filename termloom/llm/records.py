@@ -1,7 +1,7 @@
 """Token ids as length-delimited binary records with an offset index.
 
-Documents in ascending doc_id order (null first, ties by text) are dealt to
-shards by range. A shard is two files: NAME.rec holds, for each document, the
+Documents in ascending doc_id order (null first, ties by the text's hash) are
+dealt to shards by range, so that the rows of one id may lie in several. A shard is two files: NAME.rec holds, for each document, the
 payload's length (8 bytes), the masked CRC-32C of those 8 bytes (4), the
 payload, and the masked CRC-32C of the payload (4), all little-endian; NAME.idx
 holds the number of records, then every record's offset, then every record's
@@ -66,7 +66,7 @@ def _writer(uri: str, tokenizer: str, end: int | None):
         def chunks() -> Iterator[bytes]:
             nonlocal at
             for rows, texts in slices(batches, "text"):
-                ids = [x + tail for x in enc.encode(texts.to_pylist())]
+                ids = [x + tail for x in enc.encode(texts)]
                 heads = [struct.pack(_HEAD, 0 if d is None else d, d is not None, enc.width == 4) for d in rows.column(0).to_pylist()]
                 for r, x in zip(frame([h + x for h, x in zip(heads, ids)]), ids):
                     offsets.append(at)
@@ -89,9 +89,10 @@ def _writer(uri: str, tokenizer: str, end: int | None):
 
 def write(docs: DataFrame, uri: str, tokenizer: str, end: int | None = 0, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """Writes the shards below uri; returns the manifest (shard, docs, tokens, bytes, docs_before, tokens_before)."""
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     shards = -(-docs.count() // rows_per_shard) or 1
-    dealt = t.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = t.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     made = cut(dealt.mapInArrow(_writer(uri, tokenizer, end), "shard string, docs long, tokens long, bytes long"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return made.withColumn("docs_before", F.coalesce(F.sum("docs").over(before), F.lit(0))).withColumn("tokens_before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))

@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for p in (_BASE, pow(_BASE, -1, 1 << 64)):
         a = np.full(n, p, _U)
@@ -94,7 +94,7 @@ def hashed(texts: pa.Array, lower: bool) -> Iterator[tuple[np.ndarray, np.ndarra
             b = b + ((b >= 65) & (b <= 90)).astype(np.uint8) * np.uint8(32)
         cuts = np.clip(off[i : j + 1], lo, hi) - lo
         s, e = spans(b, cuts)
-        up, down = _powers(1 << max(20, int(len(b)).bit_length()))
+        up, down = powers(1 << max(20, int(len(b)).bit_length()))
         total = np.zeros(len(b) + 1, _U)
         np.cumsum(b.astype(_U) * up[: len(b)], out=total[1:])
         h = mix((total[e] - total[s]) * down[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))

@@ -84,7 +84,6 @@ def test_stages_against_plain_code(spark, folder, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
-    t.encode_special_tokens = True
     ids = [(r.doc_id, np.array([*t.encode(r.text, add_special_tokens=False).ids, 2], "<u4")) for r in had]
     assert sum(r.length for r in got) == sum(len(x) for _, x in ids)
     have = {(i, zlib.crc32(x.tobytes())) for i, x in ids}
