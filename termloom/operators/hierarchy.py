@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut as _cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
+def _together(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, frames)
 
 
 def distinct_edges(isa: DataFrame) -> DataFrame:
@@ -24,20 +23,22 @@ def closure(isa: DataFrame, concepts: DataFrame | None = None, include_self: boo
 
     Semi-naive: each round extends only the pairs found in the round before
     and drops those already known, so a cycle ends and no path is walked
-    twice. Rounds are as many as the hierarchy is deep, and each is cut from
-    its lineage in the checkpoint folder. Descendants are limited to concepts
-    at the end; ancestors needn't be among them.
+    twice. Rounds are as many as the hierarchy is deep; each writes its own
+    pairs to the checkpoint folder, once, and the result is all rounds'.
+    Descendants are limited to concepts at the end; ancestors needn't be
+    among them.
     """
     edges = _cut(distinct_edges(isa))
     up = edges.select(F.col("child_id").alias("ancestor_id"), F.col("parent_id").alias("above"))
-    frontier = edges.select(F.col("parent_id").alias("ancestor_id"), F.col("child_id").alias("descendant_id"), F.lit(1).alias("depth"))
-    total = frontier
+    rounds = [edges.select(F.col("parent_id").alias("ancestor_id"), F.col("child_id").alias("descendant_id"), F.lit(1).alias("depth"))]
     for depth in range(2, most):
-        step = frontier.join(up, "ancestor_id").select(F.col("above").alias("ancestor_id"), "descendant_id").where("ancestor_id <> descendant_id").distinct()
-        frontier = _cut(step.join(total.select("ancestor_id", "descendant_id"), ["ancestor_id", "descendant_id"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        step = rounds[-1].join(up, "ancestor_id").select(F.col("above").alias("ancestor_id"), "descendant_id").where("ancestor_id <> descendant_id").distinct()
+        known = _together(rounds).select("ancestor_id", "descendant_id")
+        found = _cut(step.join(known, ["ancestor_id", "descendant_id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if found.isEmpty():
             break
-        total = _cut(total.unionAll(frontier))
+        rounds.append(found)
+    total = _together(rounds)
     if concepts is not None:
         total = total.join(concepts.select(F.col("id").alias("descendant_id")).distinct(), "descendant_id", "left_semi").select("ancestor_id", "descendant_id", "depth")
     if include_self:
@@ -52,17 +53,16 @@ def reachable(isa: DataFrame, seeds: DataFrame, down: bool, most: int = 10_000)
     a, b = ("parent_id", "child_id") if down else ("child_id", "parent_id")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
     frontier = seeds.select(F.col("id").alias("seed"), "id").distinct()
-    total = None
+    rounds: list[DataFrame] = []
     for depth in range(1, most):
         new = frontier.join(step, "id").select("seed", F.col("next").alias("id")).where("seed <> id").distinct()
-        if total is not None:
-            new = new.join(total.select("seed", "id"), ["seed", "id"], "left_anti")
+        if rounds:
+            new = new.join(_together(rounds).select("seed", "id"), ["seed", "id"], "left_anti")
         frontier = _cut(new)
         if frontier.isEmpty():
             break
-        found = frontier.withColumn("depth", F.lit(depth))
-        total = found if total is None else _cut(total.unionAll(found))
-    return total if total is not None else frontier.withColumn("depth", F.lit(0)).limit(0)
+        rounds.append(frontier.withColumn("depth", F.lit(depth)))
+    return _together(rounds) if rounds else frontier.withColumn("depth", F.lit(0)).limit(0)
 
 
 def children(concepts: DataFrame, isa: DataFrame, of: str, limit: int | None = 50, most: int = 500) -> DataFrame:
@@ -81,17 +81,29 @@ def _ordered(df: DataFrame, limit: int | None, most: int) -> DataFrame:
     return out if limit is None or limit < 0 else out.limit(min(limit, most))
 
 
-def ancestors(concepts: DataFrame, isa: DataFrame, of: str) -> DataFrame:
+def _reached(isa: DataFrame, of: str, down: bool, closed: DataFrame | None) -> DataFrame:
+    """(id, depth): what one concept reaches strictly, read off a closure if there is one."""
+    if closed is None:
+        seeds = isa.sparkSession.createDataFrame([(of,)], "id string")
+        return reachable(isa, seeds, down).select("id", "depth")
+    a, b = ("ancestor_id", "descendant_id") if down else ("descendant_id", "ancestor_id")
+    return closed.where((F.col(a) == of) & (F.col("depth") > 0)).select(F.col(b).alias("id"), "depth")
+
+
+def ancestors(concepts: DataFrame, isa: DataFrame, of: str, closed: DataFrame | None = None) -> DataFrame:
     """All strict ancestors that are concepts, the one with the longest path first."""
-    seeds = concepts.sparkSession.createDataFrame([(of,)], "id string")
-    up = reachable(isa, seeds, down=False).select("id")
+    up = _reached(isa, of, False, closed).select("id")
     return concepts.join(up, "id").select("id", "preferred_term", "hierarchy", F.size("hierarchy_path").alias("level")).orderBy(F.col("level").desc(), "id")
 
 
-def descendants(concepts: DataFrame, isa: DataFrame, of: str) -> DataFrame:
+def chain(concepts: DataFrame, isa: DataFrame, of: str, closed: DataFrame | None = None) -> DataFrame:
+    """(depth, id, preferred_term): the ancestors that are concepts with the least number of steps to each, the nearest first."""
+    return concepts.join(_reached(isa, of, False, closed), "id").select("depth", "id", "preferred_term").orderBy("depth", "id")
+
+
+def descendants(concepts: DataFrame, isa: DataFrame, of: str, closed: DataFrame | None = None) -> DataFrame:
     """All strict descendants that are active; inactive ones are passed through."""
-    seeds = concepts.sparkSession.createDataFrame([(of,)], "id string")
-    return concepts.where("active").join(reachable(isa, seeds, down=True).select("id"), "id").select("id", "preferred_term", "hierarchy")
+    return concepts.where("active").join(_reached(isa, of, True, closed).select("id"), "id").select("id", "preferred_term", "hierarchy")
 
 
 def subsumes(pairs: DataFrame, closed: DataFrame) -> DataFrame:
@@ -161,22 +173,23 @@ def first_parent_paths(ids: DataFrame, isa: DataFrame, names: DataFrame, root: s
     hop = hop.join(label.withColumnRenamed("node", "next").withColumnRenamed("label", "next_label"), "next", "left")
     hop = _cut(hop.select("at", "next", "next_label"))
     own = ids.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", F.col("id").alias("at"), F.coalesce("label", F.lit("")).alias("at_label"), F.array(F.coalesce("label", F.lit(""))).alias("path"), F.lit("").alias("hierarchy"))
-    walk, ended = _cut(own), None
+    walk, ended = _cut(own), []
     for _ in range(limit):
         j = walk.join(hop, "at", "left")
-        done = j.where("next is null").select("id", "hierarchy", "path")
-        step = j.where("next is not null").select(
-            "id", F.col("next").alias("at"), F.coalesce("next_label", F.lit("")).alias("at_label"),
-            F.when(F.col("next_label").isNotNull(), F.array_prepend("path", F.col("next_label"))).otherwise(F.col("path")).alias("path"),
-            F.when(F.col("next") == root, F.col("at_label")).otherwise(F.col("hierarchy")).alias("hierarchy"),
+        # each step is written once, and the walks that end with it are read off it
+        step = _cut(
+            j.select(
+                "id", F.col("next").alias("at"), F.coalesce("next_label", F.lit("")).alias("at_label"),
+                F.when(F.col("next_label").isNotNull(), F.array_prepend("path", F.col("next_label"))).otherwise(F.col("path")).alias("path"),
+                F.when(F.col("next") == root, F.col("at_label")).otherwise(F.col("hierarchy")).alias("hierarchy"),
+            )
         )
-        step = _cut(step)
-        done = done.unionAll(step.where(F.col("at") == root).select("id", "hierarchy", "path"))
-        ended = _cut(done if ended is None else ended.unionAll(done))
-        walk = step.where(F.col("at") != root)
+        over = F.col("at").isNull() | (F.col("at") == root)
+        ended.append(step.where(over).select("id", "hierarchy", "path"))
+        walk = step.where(~over)
         if walk.isEmpty():
             break
-    ended = ended.unionAll(walk.select("id", "hierarchy", "path"))
+    ended = _together([*ended, walk.select("id", "hierarchy", "path")])
     return ended.select("id", "hierarchy", F.col("path").alias("hierarchy_path"))
 
 

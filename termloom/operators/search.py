@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -38,6 +39,39 @@ def postings(df: DataFrame, id_: str, columns: list[str]) -> DataFrame:
     return each.select("id", F.col("f.field").alias("field"), F.posexplode("f.t").alias("pos", "token")).select("token", "id", "field", "pos")
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings with the length dl of each one's document, how many documents have any, and their mean length."""
+
+    postings: DataFrame
+    n: int
+    mean: float
+
+
+def indexed(rows: DataFrame) -> Index:
+    """An index over postings; lengths and figures come from one pass, two numbers of it reach the driver."""
+    lengths = rows.groupBy("id").agg(F.count("*").alias("dl"))
+    one = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
+    return Index(rows.join(lengths, "id"), one.n, one.mean or 1.0)
+
+
+def write_index(rows: DataFrame, uri: str, mode: str = "error") -> Index:
+    """Writes postings once, sorted by token, so that a search reads the row groups of its words alone."""
+    made = indexed(rows)
+    made.postings.repartitionByRange("token").sortWithinPartitions("token", "id").write.mode(mode).parquet(f"{uri}/postings")
+    rows.sparkSession.createDataFrame([(made.n, made.mean)], "n long, mean double").coalesce(1).write.mode(mode).parquet(f"{uri}/figures")
+    return read_index(rows.sparkSession, uri)
+
+
+def read_index(spark: SparkSession, uri: str) -> Index:
+    one = spark.read.parquet(f"{uri}/figures").first()
+    return Index(spark.read.parquet(f"{uri}/postings"), one.n, one.mean)
+
+
+def _rows(index: DataFrame | Index) -> DataFrame:
+    return index.postings if isinstance(index, Index) else index
+
+
 def concept_postings(concepts: DataFrame) -> DataFrame:
     """The postings of concept records: id, preferred term, synonyms and name."""
     return postings(concepts, "id", ["id", "preferred_term", "synonyms", "fsn"])
@@ -163,8 +197,9 @@ def _phrase(text: str, prefix: bool) -> Phrase:
     return Phrase(tuple(re.findall(r"[^\W_]+", _fold(text))), prefix)
 
 
-def matches(index: DataFrame, query) -> DataFrame:
+def matches(index: DataFrame | Index, query) -> DataFrame:
     """(id): what a parsed query, or its text, matches. A phrase is a join of positions within a field."""
+    index = _rows(index)
     q = parse(query) if isinstance(query, str) else query
     if isinstance(q, Both):
         a, b = matches(index, q.left), matches(index, q.right)
@@ -190,28 +225,41 @@ def words_of(query) -> list[tuple[str, bool]]:
     return [(w, q.prefix and k == len(q.words) - 1) for k, w in enumerate(q.words)]
 
 
-def bm25(index: DataFrame, query, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(index: DataFrame | Index, query, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of what a query matches, by Okapi BM25 over all fields together.
 
-    The index is read once for lengths; their count and mean are one row that
-    joins on a constant.
+    Only postings of the query's words are read: they bring their documents'
+    lengths along, and the two figures of the whole index are numbers.
     """
-    hit = matches(index, query)
-    lengths = index.groupBy("id").agg(F.count("*").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("one", F.lit(1))
-    wanted = [F.when(F.col("token").startswith(w) if p else F.col("token") == w, F.lit(k)) for k, (w, p) in enumerate(dict.fromkeys(words_of(query)))]
+    index = index if isinstance(index, Index) else indexed(index)
+    q = parse(query) if isinstance(query, str) else query
+    hit = matches(index, q)
+    wanted = [(F.col("token").startswith(w) if p else F.col("token") == w, F.lit(k)) for k, (w, p) in enumerate(dict.fromkeys(words_of(q)))]
     if not wanted:
         return hit.withColumn("score", F.lit(0.0))
-    each = index.select("id", F.explode(F.filter(F.array(*wanted), lambda x: x.isNotNull())).alias("term"))
-    tf = each.groupBy("term", "id").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    full = tf.join(hit, "id", "left_semi").join(df, "term").join(lengths, "id").withColumn("one", F.lit(1)).join(stats, "one")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    any_ = reduce(Column.__or__, [c for c, _ in wanted])
+    each = index.postings.where(any_).select("id", "dl", F.explode(F.array_compact(F.array(*[F.when(c, k) for c, k in wanted]))).alias("term"))
+    tf = each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    tf = tf.join(tf.groupBy("term").agg(F.count("*").alias("df")), "term")
+    # of a query of words joined by OR every document with a posting is a hit
+    full = tf if _all_of(q) else tf.join(hit, "id", "left_semi")
+    idf = F.log((index.n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    w = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / index.mean))
     return full.groupBy("id").agg(F.sum(w).alias("score"))
 
 
-def search(concepts: DataFrame, index: DataFrame, query: str, limit: int | None = 10, most: int | None = 100, mode: str = "cli", hierarchy: str | None = None) -> DataFrame:
+def _all_of(q) -> bool:
+    if isinstance(q, Both):
+        return q.kind == "or" and _all_of(q.left) and _all_of(q.right)
+    return len(q.words) == 1
+
+
+def ranked(index: DataFrame | Index, query, limit: int = 10) -> DataFrame:
+    """(id, score) of the best matches, ties by id."""
+    return bm25(index, query).orderBy(F.col("score").desc(), "id").limit(limit)
+
+
+def search(concepts: DataFrame, index: DataFrame | Index, query: str, limit: int | None = 10, most: int | None = 100, mode: str = "cli", hierarchy: str | None = None) -> DataFrame:
     """Concepts that match, best first; a hierarchy filters before the limit."""
     q = sanitised(query, mode)
     cols = ["id", "preferred_term", "fsn", "hierarchy"]
@@ -222,9 +270,9 @@ def search(concepts: DataFrame, index: DataFrame, query: str, limit: int | None
     return out if limit is None or limit < 0 else out.limit(limit if most is None else min(limit, most))
 
 
-def search_many(index: DataFrame, queries: DataFrame) -> DataFrame:
+def search_many(index: DataFrame | Index, queries: DataFrame) -> DataFrame:
     """(query_id, id, n): documents with all distinct words of each query (query_id, text), as one join of tokens."""
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     need = q.groupBy("query_id").agg(F.count("*").alias("need"))
-    found = q.join(index.select("token", "id").distinct(), "token").groupBy("query_id", "id").agg(F.count("*").alias("n"))
+    found = q.join(_rows(index).select("token", "id").distinct(), "token").groupBy("query_id", "id").agg(F.count("*").alias("n"))
     return found.join(need, "query_id").where("n = need").select("query_id", "id", "n")

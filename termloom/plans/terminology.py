@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..operators import build as B
 from ..operators import hierarchy as H
 from ..operators import lookup as L
 from ..operators import search as S
+from ..operators import vectors as V
 from ..sources import records as R
 from ..sources import release
 from . import expressions as E
@@ -43,9 +45,10 @@ class Terminology:
         return self._closed
 
     @property
-    def index(self) -> DataFrame:
+    def index(self) -> S.Index:
+        """The positional index, written to the shared folder when it is first asked for."""
         if self._index is None:
-            self._index = S.concept_postings(self.concepts)
+            self._index = S.write_index(S.concept_postings(self.concepts), shared.folder(self.concepts.sparkSession, "index"))
         return self._index
 
     def register(self) -> None:
@@ -68,10 +71,14 @@ class Terminology:
         return H.parents(self.concepts, self.isa, id_)
 
     def ancestors(self, id_: str) -> DataFrame:
-        return H.ancestors(self.concepts, self.isa, id_)
+        """Read off the closure if it has been made."""
+        return H.ancestors(self.concepts, self.isa, id_, self._closed)
+
+    def chain(self, id_: str) -> DataFrame:
+        return H.chain(self.concepts, self.isa, id_, self._closed)
 
     def descendants(self, id_: str) -> DataFrame:
-        return H.descendants(self.concepts, self.isa, id_)
+        return H.descendants(self.concepts, self.isa, id_, self._closed)
 
     def hierarchy(self, name: str, limit: int | None = 100) -> DataFrame:
         return L.in_hierarchy(self.concepts, name, limit)
@@ -82,6 +89,10 @@ class Terminology:
     def search(self, query: str, limit: int | None = 10, mode: str = "cli", hierarchy: str | None = None) -> DataFrame:
         return S.search(self.concepts, self.index, query, limit, mode=mode, hierarchy=hierarchy)
 
+    def nearest(self, embeddings: DataFrame, vector: list[float], limit: int | None = 10, **options) -> DataFrame:
+        """Embedded concepts most like a vector, with their hierarchies."""
+        return V.nearest(embeddings, vector, limit, **options)
+
     def select(self, expression: str) -> DataFrame:
         """Concepts that an expression of the set language describes."""
         return E.evaluate(expression, self.concepts, self.isa, self.closed, self.members)
@@ -110,6 +121,13 @@ class Terminology:
         up = self.closed.where("depth > 0").where(((F.col("ancestor_id") == a) & (F.col("descendant_id") == b)) | ((F.col("ancestor_id") == b) & (F.col("descendant_id") == a)))
         return up.agg(F.max(F.when(F.col("ancestor_id") == a, "subsumes").otherwise("subsumed-by")).alias("o")).select(F.coalesce("o", F.lit("not-subsumed")).alias("outcome"))
 
+    def subsumptions(self, pairs: DataFrame) -> DataFrame:
+        """pairs (a, b) with outcome, of a to b."""
+        low, high = H.subsumes(pairs, self.closed), H.subsumes(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), self.closed)
+        both = low.join(high.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("subsumed").alias("above")), ["a", "b"])
+        outcome = F.when(F.col("a") == F.col("b"), "equivalent").when(F.col("subsumed"), "subsumed-by").when(F.col("above"), "subsumes").otherwise("not-subsumed")
+        return both.select("a", "b", outcome.alias("outcome"))
+
     def expand(self, expression: str, text: str | None = None, offset: int = 0, count: int | None = None) -> DataFrame:
         """A page of an expression's concepts by term, those that match a text if one is given."""
         c = self.concepts.join(self.select(expression), "id", "left_semi")

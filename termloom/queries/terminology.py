@@ -7,6 +7,7 @@ compare by value.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,9 @@ def query(sql: str | None = None, base: bool = True):
 
     def put(f: Callable):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(surrogate.terminology(spark, sf_dir), lambda name: surrogate.table(spark, sf_dir, name))
+            table = functools.partial(surrogate.table, spark, sf_dir)
+            table.index = lambda: surrogate.document_index(spark, sf_dir)
+            return f(surrogate.terminology(spark, sf_dir), table)
 
         Q[f.__name__] = run
         if sql is not None:
@@ -401,8 +404,8 @@ WITH tok AS (SELECT doc_id AS id, generate_subscripts(w, 1) AS pos, unnest(w) AS
 """
 
 
-def _documents(table) -> DataFrame:
-    return S.postings(table("documents"), "doc_id", ["text"])
+def _documents(table) -> S.Index:
+    return table.index()
 
 
 @query(_TOKENS + "SELECT DISTINCT id FROM tok WHERE token = 'hend'", base=False)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..schema import CONCEPT
 
+# Fields that every record of a file must have.
 REQUIRED = ("id", "fsn", "preferred_term", "hierarchy", "children_count", "active", "module", "effective_time", "schema_version")
 
 
@@ -25,8 +26,15 @@ def normalised(df: DataFrame) -> DataFrame:
 
 
 def read_ndjson(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Concept records, one JSON object a line; blank lines are skipped, a malformed line is an error."""
-    return normalised(spark.read.schema(CONCEPT).option("mode", "FAILFAST").json(path))
+    """Concept records, one JSON object a line; blank lines are skipped.
+
+    A malformed line, or a record without one of the REQUIRED fields, is an
+    error when it is read.
+    """
+    df = spark.read.schema(CONCEPT).option("mode", "FAILFAST").json(path)
+    lacks = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]))
+    whole = F.when(F.size(lacks) > 0, F.raise_error(F.concat(F.lit("record "), F.coalesce("id", F.lit("?")), F.lit(" lacks "), F.array_join(lacks, ", "))).cast("string")).otherwise(F.col("id"))
+    return normalised(df.withColumn("id", whole))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

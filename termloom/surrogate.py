@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shared
+from .operators import search as S
 from .plans.terminology import Terminology
 
 CONCEPT_TAGS = ("region", "nation", "segment", "customer", "supplier", "order", "type", "brand", "part")
@@ -26,6 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
+_INDEXES: dict[tuple[str, str], S.Index] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> S.Index:
+    """The index over the texts of documents, written once for each application, as a built artefact is, and searched many times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = S.write_index(S.postings(table(spark, sf_dir, "documents"), "doc_id", ["text"]), shared.folder(spark, "document-index"))
+    return _INDEXES[key]
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(child_id, parent_id, first): every edge once; first marks the parent whose path counts."""
     t = lambda n: table(spark, sf_dir, n)
