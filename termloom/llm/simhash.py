@@ -17,7 +17,9 @@ Definitions of edge cases: a null or empty text, or one without words, has
 fingerprint zero and is linked like any other; fewer words than a shingle make
 one shingle of the whole sequence; repeated rows count as copies; a row whose
 doc_id is null has a fingerprint and the component of its group, which is null
-only if no row of the group has an id. Other columns are ignored.
+only if no row of the group has an id. A very long text's shingles are hashed a
+few thousand at a time. Other columns are ignored, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import as_row, cut
 
 SHINGLE, SEED, BITS, SEGMENT = 3, 42, 64, 32
+ROWS_PER_TASK = 16_384  # of fingerprints, each of which has 64 variants
 CROWD = 32  # above it a variant's fingerprints go by the exact way of neighbourhoods
 
 
@@ -57,13 +60,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(2)), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row for each document; fp holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, h, fp): one row for each document; fp holds the 64 bits as a signed long, h is xxhash64 of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, h long, fp long")
 
 
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -75,7 +79,8 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
         .select("fp", F.col("h.s").alias("s"), F.col("h.x").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("i"))
         .select("fp", F.expr("shiftleft(cast(s * 32 + i as bigint), 32) | (x & ~shiftleft(1L, i))").alias("k"))
     )
-    shared = variants.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    # cut off, so that the join has a plain shuffle on either side and a hot variant's rows can be split
+    shared = cut(variants.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
     met = cut(variants.join(shared, "k"))
     few = met.where(F.col("n") <= crowd).select("k", "fp")
     pairs = few.join(few.select("k", F.col("fp").alias("v")), "k").where("fp < v").select(F.col("fp").alias("u"), "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
@@ -86,29 +91,43 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.unionAll(stars)
 
 
+def _classes(marked: DataFrame, crowd: int) -> DataFrame:
+    """(fp, root): the least fingerprint that each distinct one reaches."""
+    distinct = cut(marked.select("fp").distinct())
+    # as many tasks as its variants, not its few bytes, ask for
+    spread = distinct.repartition(-(-distinct.count() // ROWS_PER_TASK) or 1, "fp")
+    found = components(links(spread, crowd)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: the least doc_id reachable over links of at most two bits."""
     marked = cut(fingerprints(docs))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(distinct.select("fp"), crowd)).select(F.col("node").alias("fp"), "root")
-    classes = distinct.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = _classes(marked, crowd).join(first, "fp")
     lowest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
     of = classes.join(lowest, "root").select("fp", "component_id")
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """The documents of which no near-duplicate has a smaller doc_id, one row for each group, all columns.
+    """One row of each group of near-duplicates, all columns: that with the least doc_id (null last), then the least hash of its text.
 
-    Repeated rows of the document that stays are dropped too (its least text
-    stays). Groups without any id keep their rows, which cannot be told apart.
+    Of rows alike in both, one stays, the least of all columns that can be
+    ordered. Rows without an id have their group like any other.
     """
-    found = near_duplicates(docs, crowd)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["doc_id"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    named = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return named.unionByName(docs.where("doc_id is null"))
+    marked = cut(fingerprints(docs))
+    one = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
+    stay = _classes(marked, crowd).join(one, "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.none", F.coalesce("k.doc_id", F.lit(0)).alias("id"), "k.h").distinct()
+    id_ = F.col("doc_id").cast("long")
+    keyed = docs.select(as_row(docs).alias("row"), id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    rank = [F.col("row").getField(f.name) for f in docs.schema.fields if f.dataType.typeName() in _ORDERED]
+    of = Window.partitionBy("none", "id", "h").orderBy(*rank)
+    kept = keyed.join(stay, ["none", "id", "h"], "left_semi").withColumn("n", F.row_number().over(of)).where("n = 1")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+_ORDERED = {"string", "long", "integer", "short", "byte", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz", "binary"} | {"decimal"}
 
 
 def op2_simhash(docs: DataFrame) -> DataFrame:
