@@ -10,7 +10,9 @@ The weights are learned from a bounded sample of labelled rows: the PER_LABEL
 documents of each label whose id hashes lowest, PAIRS partners for each of the
 rarer label. Everything else covers all rows. No column but text is a feature.
 
-Edge cases: null text is empty; labels that are null or contradict one another
+Edge cases: null and empty texts are scored like any other, by features that
+are all zero but for shortness; a very long text is one slice, in memory at
+once; an empty table gives no rows; labels that are null or contradict one another
 are not learned from; without labelled pairs every score is 0.5, which
 predicts 1; of rows that share an id the least text is learned from; repeated
 rows score alike; other columns pass through untouched.
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import quoted
 from .textstats import counts, packed_sizes, slices
 
 PER_LABEL, PAIRS, RIDGE, QUANTILES = 10_000, 24, 1e-3, 1001
@@ -35,7 +38,7 @@ FEATURES = ("log_words", "symbols", "odd", "upper", "digits", "high", "word_leng
 def features(texts: pa.Array) -> np.ndarray:
     """One row of FEATURES for each text."""
     c = counts(texts)
-    whole, _ = packed_sizes(texts)
+    whole, _, _ = packed_sizes(texts)
     n, chars, words = (np.maximum(1, c[k]) for k in ("n_words", "n_chars", "word_chars"))
     share = lambda k, of: np.sqrt(c[k] / of)  # noqa: E731  roots spread small shares out
     expected = 0.9 + 0.16 * np.log(np.maximum(1, c["n_bytes"] / 64))  # how prose of this length compresses, roughly
@@ -126,11 +129,14 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with a score of 0.5 or more, with all their columns, in one pass without a shuffle."""
 
+    at = f"c{docs.columns.index('text')}"  # by place, as a column of docs may have any name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in slices(batches):
-            yield rows.filter(pa.array(model.score(texts) >= 0.5))
+        for rows, texts in slices(batches, at):
+            yield rows.filter(pa.array(model.score(texts) >= 0.5)).rename_columns(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    return docs.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(names)]).mapInArrow(run, docs.schema)
 
 
 #: The condition under which a label may be learned from; the other third is held out.

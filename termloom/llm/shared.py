@@ -1,39 +1,20 @@
-"""The folder that the driver and every executor share.
+"""What the operators share: the folder that the driver and every executor see, files in it, names, running sums.
 
-The cluster names it in spark.checkpoint.dir; only where that is unset (as in
-tests) is a folder set here. Nothing is written to a machine's own folders.
+The cluster names the folder in spark.checkpoint.dir; only where that is unset
+(as in tests) is one set. Nothing that another machine needs is written to a
+machine's own folders.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..shared import cut, folder, root
 
-def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as a URI; sets the session's checkpoint folder where there is none."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = sc.getCheckpointDir()
-        at = os.path.dirname(at.rstrip("/")) if at else os.path.join(tempfile.gettempdir(), "spark-checkpoints")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(at)
-    return at if "://" in at or at.startswith("file:") else "file://" + os.path.abspath(at)
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new, empty folder's URI in the shared folder; Spark or open_output() makes it when it writes."""
-    return f"{root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The frame without its lineage, kept in the shared folder, so that a lost executor costs no recomputation."""
-    root(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["Store", "as_row", "cut", "folder", "local_path", "quoted", "root", "running", "ship"]
 
 
 def local_path(uri: str) -> str | None:
@@ -93,14 +74,29 @@ class Store:
             pass
 
 
-def rows_of(df: DataFrame) -> int:
-    """The number of rows; for a plain Parquet table Spark answers from the footers."""
-    return df.count()
+def quoted(name: str) -> str:
+    """A column's name as one that may hold dots and back quotes."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def tasks(spark: SparkSession, units: float, per_task: float, least: int = 1) -> int:
-    """How many groups hold units of work at per_task each, growing with the input and never capped."""
-    return max(least, int(-(-units // per_task)))
+def as_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def running(df: DataFrame, by: list[str], place: str, value: str, out: str, step: int = 1024) -> DataFrame:
+    """Adds out: the sum of value over the rows of by with a smaller place (a number from 0, each once).
+
+    In two levels, as a group may hold a third of all rows: sums over step
+    places, then within these, so that a task sees a step's rows, or one row
+    for each step.
+    """
+    own = df.withColumn("__step", F.expr(f"{place} div {step}"))
+    steps = own.groupBy(*by, "__step").agg(F.sum(value).alias("__sum"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    first = steps.select(*by, "__step", F.coalesce(F.sum("__sum").over(before(Window.partitionBy(*by).orderBy("__step"))), F.lit(0)).alias("__first"))
+    inside = F.coalesce(F.sum(value).over(before(Window.partitionBy(*by, "__step").orderBy(place))), F.lit(0))
+    return own.join(first, [*by, "__step"]).withColumn(out, F.col("__first") + inside).drop("__step", "__first")
 
 
 _SHIPPED: set[str] = set()
@@ -114,6 +110,9 @@ def ship(spark: SparkSession) -> None:
 
     Also sets the rows of an Arrow batch where the session has Spark's default.
     """
+    import atexit
+    import shutil
+    import tempfile
     import zipfile
     from pathlib import Path
 
@@ -124,7 +123,9 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     top = Path(__file__).resolve().parent.parent
-    at = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
+    own = tempfile.mkdtemp()  # the driver's; executors get the file from the driver, for as long as it runs
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    at = Path(own) / f"{top.name}.zip"
     with zipfile.ZipFile(at, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))

@@ -107,8 +107,8 @@ def _repeated(at: np.ndarray, h: np.ndarray, n: int, window: int = WINDOW) -> np
     return np.bincount(at[np.cumsum(edge[:-1]) > 0], minlength=n)
 
 
-def packed_sizes(texts: pa.Array, level: int = 3, chunk: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Zstandard sizes of each whole text and, if chunk is given, of its chunks of so many bytes.
+def packed_sizes(texts: pa.Array, level: int = 3, chunk: int = 0) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Zstandard sizes of each whole text and, if chunk is given, of its chunks of so many bytes; then the texts' bytes.
 
     What is left after the full chunks counts as the text's last so many bytes; a text of less than a chunk has none.
     """
@@ -123,4 +123,4 @@ def packed_sizes(texts: pa.Array, level: int = 3, chunk: int = 0) -> tuple[np.nd
             if at and len(t) % chunk:
                 at.append(len(t) - chunk)
             parts.append(np.array([len(z.compress(t[k : k + chunk])) for k in at], np.int64))
-    return whole, parts
+    return whole, parts, np.diff(off)
