@@ -38,6 +38,12 @@ def path_slug(path: str) -> str:
     return re.sub("[^a-z0-9]+", "-", re.sub(r"\.(zip|ZIP)$", "", name).lower()).strip("-")
 
 
+def path_slugs(path: Column) -> Column:
+    """path_slug() of a column."""
+    name = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    return slug(F.regexp_replace(name, r"\.(zip|ZIP)$", ""))
+
+
 def title_case(s: Column) -> Column:
     """The first letter upper case, the rest as it is."""
     return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))
@@ -80,6 +86,18 @@ def date_in_name(path: str) -> str | None:
     return None
 
 
+def dates_in_names(path: Column) -> Column:
+    """date_in_name() of a column."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+    found = F.regexp_extract(stem, r"((?:19\d\d|20\d\d|2100)(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]))", 1)
+    return F.when(found != "", F.concat_ws("-", F.substring(found, 1, 4), F.substring(found, 5, 2), F.substring(found, 7, 2)))
+
+
+def query_texts(query: Column) -> Column:
+    """query_text() of a column; an empty query is an error while it is read."""
+    return F.when(F.trim(query) == "", F.raise_error(F.lit("the query is empty")).cast("string")).otherwise(F.concat(F.lit("search_query: "), query))
+
+
 def release_age(release: Column, today: Column | None = None) -> Column:
     """Days since a release date written as YYYYMMDD or YYYY-MM-DD; null if it is neither."""
     at = F.coalesce(F.try_to_date(release, "yyyyMMdd"), F.try_to_date(release, "yyyy-MM-dd"))

@@ -157,6 +157,36 @@ def constraint(tree) -> str:
     return f"{side(tree.left)} {sign} {side(tree.right)}"
 
 
+def sql(tree, resolve) -> str:
+    """The expression as SQL over the registered tables concepts, concept_isa, concept_ancestors and refset_members.
+
+    resolve gives the id of a Concept. Descendants and ancestors go by the
+    closure, so that no statement needs recursion.
+    """
+    if isinstance(tree, str):
+        tree = parse(tree)
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    if isinstance(tree, Concept):
+        return f"SELECT id FROM concepts WHERE id = {text(resolve(tree))}"
+    if isinstance(tree, Related):
+        i = text(resolve(tree.of))
+        table, get, by = {
+            "descendants": ("concept_ancestors", "descendant_id", "depth > 0 AND ancestor_id"), "ancestors": ("concept_ancestors", "ancestor_id", "depth > 0 AND descendant_id"),
+            "children": ("concept_isa", "child_id", "parent_id"), "parents": ("concept_isa", "parent_id", "child_id"), "members": ("refset_members", "referenced_component_id", "refset_id"),
+        }[tree.kind]
+        out = f"SELECT DISTINCT {get} AS id FROM {table} WHERE {by} = {i}"
+        return f"{out} UNION SELECT id FROM concepts WHERE id = {i}" if tree.self else out
+    if isinstance(tree, Where):
+        has = f"SELECT id, explode(attributes[{text(tree.attribute)}].id) AS target FROM concepts WHERE id IN ({sql(tree.base, resolve)})"
+        if tree.kind == "any":
+            return f"SELECT DISTINCT id FROM ({has})"
+        i = text(resolve(tree.value))
+        among = f"= {i}" if tree.kind == "is" else f"IN (SELECT descendant_id FROM concept_ancestors WHERE depth > 0 AND ancestor_id = {i})"
+        return f"SELECT DISTINCT id FROM ({has}) WHERE target {among}"
+    word = {"and": "INTERSECT", "or": "UNION", "excluding": "EXCEPT"}[tree.kind]
+    return f"SELECT id FROM ({sql(tree.left, resolve)}) {word} SELECT id FROM ({sql(tree.right, resolve)})"
+
+
 class Resolver:
     """Ids of names: an id as it is, else the one concept with that term."""
 

@@ -52,8 +52,9 @@ class Terminology:
         return self._index
 
     def register(self) -> None:
-        """Makes concepts, concept_isa, concept_maps and refset_members available to spark.sql()."""
-        R.register(self.concepts.sparkSession, {"concepts": self.concepts, "concept_isa": self.isa, "concept_maps": self.maps, "refset_members": self.members})
+        """Makes concepts, concept_isa, concept_maps, refset_members and, once made, concept_ancestors available to spark.sql()."""
+        made = {"concept_ancestors": self._closed} if self._closed is not None else {}
+        R.register(self.concepts.sparkSession, {"concepts": self.concepts, "concept_isa": self.isa, "concept_maps": self.maps, "refset_members": self.members} | made)
 
     def concept(self, code: str) -> DataFrame:
         return L.by_code(self.concepts, self.maps, code)
@@ -97,6 +98,10 @@ class Terminology:
         """Concepts that an expression of the set language describes."""
         return E.evaluate(expression, self.concepts, self.isa, self.closed, self.members)
 
+    def sql(self, expression: str) -> str:
+        """The SQL of an expression, over what register() makes available once there is a closure."""
+        return E.sql(expression, E.Resolver(self.concepts))
+
     def map_to(self, code: str, terminology: str) -> DataFrame:
         return L.map_reverse(self.concepts, self.maps, code, terminology)
 

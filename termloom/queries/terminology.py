@@ -80,14 +80,8 @@ def hierarchy_members(t: Terminology, _):
     return t.hierarchy("ASIA").select("id", "preferred_term")
 
 
-@query("SELECT id, fsn FROM concepts WHERE id IN (SELECT 'P' || (l_partkey % 50 + 1) FROM lineitem WHERE l_orderkey < 200)")
+@query("SELECT id, fsn FROM concepts WHERE id IN (SELECT 'P' || l_partkey FROM lineitem)")
 def bulk_lookup(t: Terminology, table):
-    ids = table("lineitem").where("l_orderkey < 200").select(F.concat(F.lit("P"), (F.col("l_partkey") % 50 + 1).cast("string")).alias("id"))
-    return t.lookup(ids).select("id", "fsn")
-
-
-@query()
-def bulk_lookup_all(t: Terminology, table):
     """Every part that any line item names."""
     return t.lookup(table("lineitem").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("id"))).select("id", "fsn")
 
@@ -177,9 +171,9 @@ def semi_active(t: Terminology, _):
     return t.concepts.where("active").join(t.members.select(F.col("referenced_component_id").alias("id")), "id", "left_semi").select("id")
 
 
-@query("SELECT id FROM concepts c WHERE id LIKE 'C%' AND NOT EXISTS (SELECT 1 FROM isa WHERE parent_id = c.id AND child_id LIKE 'O%5')")
+@query("SELECT id FROM concepts c WHERE NOT EXISTS (SELECT 1 FROM isa WHERE parent_id = c.id)")
 def anti_childless(t: Terminology, _):
-    return t.concepts.where("id like 'C%'").join(t.isa.where("child_id like 'O%5'").select(F.col("parent_id").alias("id")), "id", "left_anti").select("id")
+    return t.concepts.join(t.isa.select(F.col("parent_id").alias("id")), "id", "left_anti").select("id")
 
 
 @query("SELECT s.id, s.target, coalesce(c.fsn, '') AS fsn FROM supplied s LEFT JOIN concepts c ON c.id = s.target AND c.active")
@@ -269,24 +263,13 @@ def closure(t: Terminology, _):
     return t.closed
 
 
-@query("SELECT ancestor_id, descendant_id, depth FROM closed WHERE ancestor_id LIKE 'N%' UNION ALL SELECT id, id, 0 FROM concepts WHERE id LIKE 'N%'")
+@query("SELECT ancestor_id, descendant_id, depth FROM closed UNION ALL SELECT id, id, 0 FROM concepts")
 def closure_self(t: Terminology, _):
-    return H.closure(t.isa, t.concepts, include_self=True).where("ancestor_id like 'N%'")
-
-
-@query()
-def closure_self_all(t: Terminology, _):
     return H.closure(t.isa, t.concepts, include_self=True)
 
 
-@query("SELECT child_id AS a, p AS b, EXISTS (SELECT 1 FROM closed WHERE descendant_id = child_id AND ancestor_id = p) AS subsumed FROM (SELECT child_id, unnest(['R1', 'PART', child_id]) AS p FROM isa WHERE child_id LIKE 'N%')")
+@query("SELECT a, b, EXISTS (SELECT 1 FROM closed WHERE descendant_id = a AND ancestor_id = b) AS subsumed FROM (SELECT child_id AS a, unnest(['R1', 'PART', child_id, parent_id]) AS b FROM isa)")
 def subsumes(t: Terminology, _):
-    pairs = t.isa.where("child_id like 'N%'").select(F.col("child_id").alias("a"), F.explode(F.array(F.lit("R1"), F.lit("PART"), F.col("child_id"))).alias("b"))
-    return t.is_a(pairs)
-
-
-@query()
-def subsumes_all(t: Terminology, _):
     """Every edge's child against a region, the product root, itself and its parent."""
     return t.is_a(t.isa.select(F.col("child_id").alias("a"), F.explode(F.array(F.lit("R1"), F.lit("PART"), F.col("child_id"), F.col("parent_id"))).alias("b")))
 
@@ -307,13 +290,8 @@ def lca_path(t: Terminology, _):
     return t.concepts.join(common, "id").select("id", F.size("hierarchy_path").alias("level"))
 
 
-@query("SELECT id, 1 + (SELECT count(*) FROM closed WHERE ancestor_id = id) AS n FROM concepts WHERE id LIKE 'N%' OR id LIKE 'SEG%'")
+@query("SELECT id, 1 + coalesce(n, 0) AS n FROM concepts LEFT JOIN (SELECT ancestor_id, count(*) AS n FROM closed GROUP BY 1) ON ancestor_id = id")
 def descendants_or_self_counts(t: Terminology, _):
-    return H.below_or_self_counts(t.closed, t.concepts.where("id like 'N%' or id like 'SEG%'"))
-
-
-@query()
-def descendants_or_self_counts_all(t: Terminology, _):
     return H.below_or_self_counts(t.closed, t.concepts)
 
 
@@ -386,11 +364,6 @@ def expand_page(t: Terminology, _):
     return t.expand("descendants of R2", None, 10, 20)
 
 
-@query("SELECT 'subsumed-by' AS outcome")
-def subsumption_outcome(t: Terminology, _):
-    return t.subsumption("C7", "ROOT")
-
-
 @query("SELECT coalesce(max(active), false) AS result, max(preferred_term) AS display FROM concepts WHERE id = 'C7'")
 def validate_code(t: Terminology, _):
     return t.validate_code("C7")
@@ -558,45 +531,58 @@ def release_age(t, table):
 # --- sinks -------------------------------------------------------------------------
 
 
+_SUPPLIED = "(SELECT s.id, list(struct_pack(id := s.target, name := c.preferred_term) ORDER BY s.target) AS refs FROM supplied s JOIN concepts c ON c.id = s.target GROUP BY s.id)"
+
+
 @query(
-    """SELECT id, '# ' || preferred_term || chr(10) || chr(10) || '**SCTID:** ' || id || '  ' || chr(10) || '**FSN:** ' || fsn || '  ' || chr(10) || '**Hierarchy:** ' || CASE WHEN len(hierarchy_path) > 1 THEN array_to_string(hierarchy_path[:-2], ' > ') ELSE hierarchy END || '  ' || chr(10) || chr(10) || '## Hierarchy' || chr(10) || chr(10)
+    f"""SELECT c.id, '# ' || preferred_term || chr(10) || chr(10) || '**SCTID:** ' || c.id || '  ' || chr(10) || '**FSN:** ' || fsn || '  ' || chr(10) || '**Hierarchy:** ' || CASE WHEN len(hierarchy_path) > 1 THEN array_to_string(hierarchy_path[:-2], ' > ') ELSE hierarchy END || '  ' || chr(10) || chr(10)
+ || CASE WHEN len(synonyms) > 0 THEN '## Synonyms' || chr(10) || chr(10) || array_to_string(['- ' || x || chr(10) for x in synonyms], '') || chr(10) ELSE '' END
+ || CASE WHEN refs IS NOT NULL THEN '## Relationships' || chr(10) || chr(10) || array_to_string(['- **Supplied by:** ' || x.name || ' [' || x.id || ']' || chr(10) for x in refs], '') || chr(10) ELSE '' END
+ || '## Hierarchy' || chr(10) || chr(10)
  || array_to_string([repeat('  ', i - 1) || CASE WHEN i = len(hierarchy_path) THEN '- **' || hierarchy_path[i] || '** *(this concept)*' ELSE '- ' || hierarchy_path[i] END || chr(10) for i in range(1, len(hierarchy_path) + 1)], '')
- || coalesce((SELECT chr(10) || '## Parents' || chr(10) || chr(10) || string_agg('- ' || p.fsn || ' `' || p.id || '`' || chr(10), '' ORDER BY p.id, p.fsn) FROM isa JOIN concepts p ON p.id = parent_id WHERE child_id = c.id), '') AS text
- FROM concepts c WHERE id LIKE 'C%' OR id LIKE 'R%'"""
+ || coalesce(chr(10) || '## Parents' || chr(10) || chr(10) || up, '') AS text
+ FROM concepts c LEFT JOIN {_SUPPLIED} r ON r.id = c.id LEFT JOIN (SELECT child_id, string_agg('- ' || p.fsn || ' `' || p.id || '`' || chr(10), '' ORDER BY p.id, p.fsn) AS up FROM isa JOIN concepts p ON p.id = parent_id GROUP BY 1) ON child_id = c.id"""
 )
 def md_concept(t: Terminology, _):
-    return t.concepts.where("id like 'C%' or id like 'R%'").select("id", K.markdown().alias("text"))
-
-
-@query()
-def md_concept_all(t: Terminology, _):
     """The page of every concept, with synonyms and relationships."""
     return t.concepts.select("id", K.markdown().alias("text"))
 
 
 @query(
-    """SELECT hierarchy, count(*) AS n, md5('# ' || hierarchy || chr(10) || chr(10) || '> ' || count(*) || ' concepts in this hierarchy.' || chr(10) || chr(10) || string_agg('---' || chr(10) || chr(10) || '## ' || preferred_term || ' `' || id || '`' || chr(10) || chr(10) || '**FSN:** ' || fsn || '  ' || chr(10) || chr(10), '' ORDER BY id)) AS digest
- FROM concepts WHERE hierarchy <> 'Part' GROUP BY hierarchy"""
+    f"""SELECT hierarchy, count(*) AS n, md5('# ' || hierarchy || chr(10) || chr(10) || '> ' || count(*) || ' concepts in this hierarchy.' || chr(10) || chr(10) || string_agg('---' || chr(10) || chr(10) || '## ' || preferred_term || ' `' || c.id || '`' || chr(10) || chr(10) || '**FSN:** ' || fsn || '  ' || chr(10)
+ || CASE WHEN len(synonyms) > 0 THEN '**Synonyms:** ' || array_to_string(synonyms, ', ') || '  ' || chr(10) ELSE '' END || CASE WHEN refs IS NOT NULL THEN '**Supplied by:** ' || array_to_string([x.name for x in refs], ', ') || '  ' || chr(10) ELSE '' END || chr(10), '' ORDER BY c.id)) AS digest
+ FROM concepts c LEFT JOIN {_SUPPLIED} r ON r.id = c.id GROUP BY hierarchy"""
 )
 def md_hierarchy(t: Terminology, _):
-    return K.hierarchy_pages(t.concepts.where("hierarchy <> 'Part'")).select("hierarchy", "n", F.md5(F.col("text").cast("binary")).alias("digest"))
+    """The page of every hierarchy."""
+    return K.hierarchy_pages(t.concepts).select("hierarchy", "n", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
-def md_hierarchy_all(t: Terminology, _):
-    """The page of every hierarchy, that of the products too."""
-    return K.hierarchy_pages(t.concepts).select("hierarchy", "n", F.md5(F.col("text").cast("binary")).alias("digest"))
+def _json(x: str) -> str:
+    return f"""CASE WHEN coalesce(len({x}), 0) = 0 THEN '[]' ELSE '["' || array_to_string({x}, '","') || '"]' END"""
+
 
+_REFS = """'[' || string_agg('{"id":"' || p.id || '","fsn":"' || p.fsn || '"}', ',' ORDER BY p.id) || ']'"""
+_FULL = f"""(SELECT c.*, coalesce(up, '[]') AS parents, CASE WHEN by_id.refs IS NULL THEN '{{}}' ELSE '{{"supplied_by":' || by_id.refs || '}}' END AS attributes, codes, sets FROM concepts c
+ LEFT JOIN (SELECT child_id, {_REFS} AS up FROM isa JOIN concepts p ON p.id = parent_id GROUP BY 1) ON child_id = c.id
+ LEFT JOIN (SELECT s.id, {_REFS} AS refs FROM supplied s JOIN concepts p ON p.id = s.target GROUP BY 1) by_id ON by_id.id = c.id
+ LEFT JOIN (SELECT concept_id, list(code) AS codes FROM maps GROUP BY 1) ON concept_id = c.id
+ LEFT JOIN (SELECT referenced_component_id, list(refset_id ORDER BY refset_id) AS sets FROM members GROUP BY 1) ON referenced_component_id = c.id)"""
 
-@query("SELECT id, '[\"' || array_to_string(hierarchy_path, '\",\"') || '\"]' AS hierarchy_path, children_count, active FROM concepts")
+
+@query(f"SELECT id, fsn, preferred_term, {_json('synonyms')} AS synonyms, hierarchy, {_json('hierarchy_path')} AS hierarchy_path, parents, children_count, active, module, effective_time, attributes, 3 AS schema_version FROM {_FULL}")
 def parquet_flat(t: Terminology, _):
-    return K.flat(t.concepts).select("id", "hierarchy_path", "children_count", "active")
+    """All thirteen columns."""
+    return K.flat(t.concepts)
 
 
-@query("SELECT id, '{\"id\":\"' || id || '\",\"preferred_term\":\"' || preferred_term || '\",\"children_count\":' || children_count || '}' AS value FROM concepts")
+@query(
+    f"""SELECT id, '{{"id":"' || id || '","fsn":"' || fsn || '","preferred_term":"' || preferred_term || '","synonyms":' || {_json('synonyms')} || ',"hierarchy":"' || hierarchy || '","hierarchy_path":' || {_json('hierarchy_path')} || ',"parents":' || parents || ',"children_count":' || children_count || ',"active":' || active || ',"module":"' || module || '","effective_time":"' || effective_time
+ || '","attributes":' || attributes || ',"ctv3_codes":' || {_json('codes')} || ',"read2_codes":[],"refsets":' || {_json('sets')} || ',"schema_version":3}}' AS value FROM {_FULL}"""
+)
 def ndjson_line(t: Terminology, _):
-    r = t.concepts.select("id", "preferred_term", "children_count")
-    return K.ndjson_lines(r).select(F.get_json_object("value", "$.id").alias("id"), "value")
+    """The whole line of every record."""
+    return K.ndjson_lines(t.concepts).select(F.get_json_object("value", "$.id").alias("id"), "value")
 
 
 @query("SELECT count(DISTINCT code) AS n_codes, (SELECT count(*) FROM isa) AS n_edges, (SELECT count(*) FROM members) AS n_members FROM maps")
