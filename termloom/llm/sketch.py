@@ -8,14 +8,21 @@ can be sketched apart. From two sketches come estimates of resemblance,
 containment and, from one, of the number of distinct shingles.
 
 Edge cases: null text is empty; an empty sketch resembles an empty one fully
-and no other at all; repeated rows give equal sketches.
+and no other at all; repeated rows give equal sketches. Rows of one id follow
+one another by the hash of their texts, then by text. A very long text is one
+row, whose hashes are sorted in memory; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 K, SHINGLE = 256, 5
 WHITE = r"[\x20\x09-\x0D]+"
 _SPAN = 2.0**64
@@ -78,56 +85,82 @@ def as_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
-ROWS_PER_BUCKET = 4096
-
-
-def _bounds(ids: DataFrame, buckets: int) -> list[tuple[int, int]]:
-    """(least, greatest) id of each of about so many ranges of ids, descending: one short row for each bucket."""
-    each = ids.repartitionByRange(buckets, F.col("o").desc()).groupBy(F.spark_partition_id().alias("p")).agg(F.min("o").alias("low"), F.max("o").alias("high"))
-    return sorted(((r.low, r.high) for r in each.collect()), reverse=True)
+ROWS_PER_BUCKET, INTERVALS, HEADS = 1024, 256, 1_000_000
+_TOP = (1 << 63) - 1
 
 
-def _below(values: list[int], x: Column) -> Column:
-    """How many of the ascending values are less than x, by binary search in a literal array."""
-    if not values:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(values).bit_length()))]
-    arr = F.array(*[F.lit(v) for v in values])
-    return F.aggregate(
-        F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(arr, at + step - 1) < x, F.lit(False)), at + step).otherwise(at)
-    )
+def _intervals(d: DataFrame, rows_per_bucket: int) -> list[tuple[int, int, int]]:
+    """(start, width, hot) of at most 2 * INTERVALS ranges of the column d, each cut evenly into buckets of width.
 
-
-def with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(doc_id, text, bucket, ghost): every document in its range of ids, once more as a ghost where it opens the range.
-
-    Within a bucket, ordered by ghost, descending doc_id and text, each
-    document is followed by the next one of the whole table (after the last:
-    the first), so a window over a bucket sees every neighbour while the texts
-    are shuffled once. The ranges come from the ids alone, one bound for
-    rows_per_bucket rows. A null id comes last; all rows of one id share a
-    bucket.
+    Starts are quantiles, so their number doesn't grow with the table. A value
+    that two quantiles hit is a hot range of its own, cut by hash.
+    """
+    shares = [k / INTERVALS for k in range(1, INTERVALS)]
+    got = d.agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"), F.percentile_approx("d", shares, 10_000).alias("q")).first()
+    if not got.n:
+        return [(0, 1, 0)]
+    many = -(-got.n // (rows_per_bucket * INTERVALS))
+    hits = Counter(got.q)
+    starts = {got.low: 0} | {x: n if n > 1 else 0 for x, n in hits.items()}
+    for x, n in hits.items():
+        if n > 1 and x < _TOP:
+            starts.setdefault(x + 1, 0)
+    out = []
+    for x, then in zip(at := sorted(starts), [*at[1:], got.high + 1]):
+        size = 1 << 63 if starts[x] else (then >> 1) - (x >> 1) + 1
+        out.append((x, min(_TOP, max(1, -(-size // (many * max(1, starts[x]))))), int(starts[x] > 0)))
+    return out
+
+
+def _bucket(d: Column, h: Column, intervals: list[tuple[int, int, int]]) -> Column:
+    """Ascending numbers of buckets of rows in the order of (d, h); the interval by binary search in a literal array."""
+    start, width, hot = (F.array(*[F.lit(x[k]).cast("long") for x in intervals]) for k in range(3))
+    steps = [1 << k for k in reversed(range(len(intervals).bit_length()))]
+    upto = F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(start, at + step - 1) <= d, F.lit(False)), at + step).otherwise(at))
+
+    def number(i: Column) -> Column:
+        along = F.when(F.get(hot, i) == 1, h).otherwise(F.shiftright(d, 1) - F.shiftright(F.get(start, i), 1))
+        return F.shiftleft(i.cast("long"), 32) + F.floor(along / F.get(width, i)).cast("long")
+
+    return F.element_at(F.transform(F.array(F.greatest(upto - 1, F.lit(0))), number), 1)
+
+
+def with_next(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET, heads: int = HEADS) -> DataFrame:
+    """(doc_id, text, h, bucket, ghost): every document in a bucket of ids, and the first one of each bucket once more as a ghost in the bucket before.
+
+    Within a bucket, ordered by ghost, descending doc_id, h (the text's hash)
+    and text, each document is followed by the next one of the whole table
+    (after the last: the first), so a window over a bucket sees every
+    neighbour while the texts are shuffled once. A null id comes last. The
+    buckets follow from a fixed number of quantiles of the ids; rows that share
+    an id are spread by h. A few numbers reach the driver. The firsts, a thin
+    row for each bucket, are broadcast if they are heads at most and joined by
+    a shuffle otherwise.
     """
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    o = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = t.count()
-    ranges = _bounds(t.select(o.alias("o")), -(-n // rows_per_bucket)) if n else []
-    down = F.bitwise_not(o)  # falls where the id rises
-    at = _below([~low for low, _ in ranges], down)
-    first = _below([~high for _, high in ranges], down)  # the ranges that begin above this id; one fewer at a range's first id
-    placed = t.withColumn("__b", at).withColumn("__head", first == F.col("__b"))
-    own = F.struct(F.col("__b").alias("bucket"), F.lit(False).alias("ghost"))
-    before = F.struct(F.pmod(F.col("__b") - 1, F.lit(max(1, len(ranges)))).alias("bucket"), F.lit(True).alias("ghost"))
-    return placed.select("doc_id", "text", F.explode(F.when(F.col("__head"), F.array(own, before)).otherwise(F.array(own))).alias("__p")).select("doc_id", "text", "__p.bucket", "__p.ghost")
+    id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # 62 bits of the hash; rows without an id come behind those of the least one, whose place they share
+    h = F.shiftrightunsigned(F.xxhash64(text), 2) + F.when(id_.isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
+    t = docs.select(id_.alias("doc_id"), text.alias("text"), h.alias("h"))
+    d = F.bitwise_not(F.coalesce("doc_id", F.lit(-(1 << 63))))  # falls where the id rises
+    places = _intervals(t.select(d.alias("d")), rows_per_bucket)
+    t = t.withColumn("d", d).withColumn("bucket", _bucket(F.col("d"), F.col("h"), places))
+    first = t.select("bucket", "d", "h").groupBy("bucket").agg(F.min(F.struct("d", "h")).alias("k"))
+    first = cut(first.select("bucket", "k.d", "k.h"))
+    around = Window.orderBy("bucket")  # a row for each bucket
+    last = F.max("bucket").over(Window.partitionBy(F.lit(0)))
+    to = first.select(F.col("d").alias("d1"), F.col("h").alias("h1"), F.coalesce(F.lag("bucket").over(around), last).alias("to"))
+    to = F.broadcast(to) if first.count() <= heads else to
+    ghosts = t.join(to, (F.col("d") == F.col("d1")) & (F.col("h") == F.col("h1"))).groupBy("to").agg(F.min(F.struct("text", "doc_id", "h")).alias("x"))
+    return t.select("doc_id", "text", "h", "bucket", F.lit(False).alias("ghost")).unionAll(ghosts.select("x.doc_id", "x.text", "x.h", F.col("to").alias("bucket"), F.lit(True).alias("ghost")))
 
 
 def op8_sketch(docs: DataFrame, k: int = K, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likenesses; also resemblance's kin for the next text."""
-    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "h", "text")
     pair = with_next(docs, rows_per_bucket).withColumn("next_text", F.lead("text").over(order)).withColumn("n_chars", F.length("text").cast("long"))
-    cut = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cast(floor(n_chars / 3) as int))"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
-    both = pair.select("doc_id", "text", "bucket", "ghost", "n_chars", F.when(~F.col("ghost"), edited).alias("edited"), sketch(F.col("text"), k).alias("s"))
+    third = F.floor(F.col("n_chars") / 3).cast("int")
+    edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - cast(floor(n_chars / 3) as int))"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
+    both = pair.select("doc_id", "text", "h", "bucket", "ghost", "n_chars", F.when(~F.col("ghost"), edited).alias("edited"), sketch(F.col("text"), k).alias("s"))
     then = both.withColumn("s_next", F.lead("s").over(order)).where("not ghost").withColumn("e", sketch(F.col("edited"), k))
     return then.select(
         "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("s")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
