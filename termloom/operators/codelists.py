@@ -86,20 +86,43 @@ def document(header: str, rows: DataFrame) -> DataFrame:
     return rows.agg(F.concat(F.lit(f"---\n{header.rstrip(chr(10))}\n---\n"), F.when(F.count("*") > 0, F.concat(F.lit("\n"), body, F.lit("\n"))).otherwise(F.lit(""))).alias("text"))
 
 
-def new(title: str, terminology: str, description: str | None = None, author: str | None = None, today: str = "1970-01-01") -> str:
-    """The text of a new file; runs on the driver."""
+# The codes of a new list's warnings, how severe they are, and the terminologies that they are for (None: any).
+WARNINGS = (
+    ("not-universal-definition", "info", None),
+    ("draft-not-reviewed", "info", None),
+    ("snomed-release-age", "caution", "SNOMED CT"),
+    ("dmd-currency", "warning", "dm+d"),
+    ("dmd-vmp-code-change", "caution", "dm+d"),
+)
+#: What the warnings say.
+MESSAGES = {
+    "not-universal-definition": "Made for one study; another may need a different list.",
+    "draft-not-reviewed": "A draft that nobody has reviewed so far.",
+    "snomed-release-age": "Compare it with the latest release first.",
+    "dmd-currency": "Product codes are renewed often, so look for newer ones.",
+    "dmd-vmp-code-change": "Some product codes may have been replaced; compare them with the latest release.",
+}
+
+
+def new(title: str, terminology: str, description: str | None = None, author: str | None = None, today: str = "1970-01-01", release: str | None = None) -> str:
+    """The text of a new file; runs on the driver. release names the release that the list was made from."""
     name = re.sub(r" ", "-", title.lower())
-    warn = [("not-universal-definition", "info"), ("draft-not-reviewed", "info")]
-    if terminology == "dm+d":
-        warn += [("dmd-currency", "warning"), ("dmd-vmp-code-change", "caution")]
-    elif terminology.endswith(" CT"):
-        warn += [("release-age", "caution")]
-    head = [f"id: {name}", f"title: {title}", f"description: {description or title + ' codes'}", f"terminology: {terminology}", f"created: '{today}'", f"updated: '{today}'", "version: 1", "status: draft", "licence: CC-BY-4.0", "copyright: Copyright holder.", "appropriate_use: Describe appropriate use here.", "misuse: Describe misuse here."]
+    head = [f"id: {name}", f"title: {title}", f"description: {description or title + ' codes'}", f"terminology: {terminology}", f"created: '{today}'", f"updated: '{today}'", "version: 1", "status: draft", "licence: CC-BY-4.0", "copyright: To be named by the holder."]
+    head += [f"appropriate_use: {PLACEHOLDER} what the list is good for.", f"misuse: {PLACEHOLDER} what it must not be taken for."]
+    head += [f"snomed_release: '{release}'"] if release else []
     head += ["authors:", f"- name: {author}", "  role: author"] if author else []
-    head += ["warnings:", *(x for c, s in warn for x in (f"- code: {c}", f"  severity: {s}"))]
+    head += ["warnings:", *(x for code, severity, of in WARNINGS if of in (None, terminology) for x in (f"- code: {code}", f"  severity: {severity}", f"  message: {MESSAGES[code]}"))]
     return "---\n" + "\n".join(head) + "\n---\n\n\n# concepts\n\n"
 
 
+def warnings(header: Column) -> Column:
+    """array<struct<code, severity, message>>: the warnings of a header."""
+    block = F.regexp_extract(header, r"(?m)^warnings:[ \t]*\n((?:[- ].*(?:\n|$))*)", 1)
+    entries = F.filter(F.split(block, r"(?m)^- "), lambda x: F.trim(x) != "")
+    field = lambda x, k: F.regexp_extract(x, rf"(?m)^\s*{k}:[ \t]*(.*)$", 1).alias(k)
+    return F.transform(entries, lambda x: F.struct(*[field(x, k) for k in ("code", "severity", "message")]))
+
+
 def added(rows: DataFrame, concepts: DataFrame, ids: DataFrame, isa: DataFrame | None = None, of: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(new active lines: code, term; ids that aren't concepts) for ids (column id) not active yet, and of's descendants if isa is given."""
     want = ids.select("id")
@@ -113,11 +136,11 @@ def added(rows: DataFrame, concepts: DataFrame, ids: DataFrame, isa: DataFrame |
 
 def removed(rows: DataFrame, code: str, comment: str | None = None) -> DataFrame:
     """rows with the first active line of a code excluded and its comment replaced; an error while read if there is none."""
-    first = rows.where((F.col("kind") == "active") & (F.col("code") == code)).agg(F.min("line_no").alias("first")).withColumn("one", F.lit(1))
+    first = rows.where((F.col("kind") == "active") & (F.col("code") == code)).agg(F.min("line_no").alias("first"))
     hit = F.col("line_no") == F.col("first")
     found = F.assert_true(F.col("first").isNotNull(), F.lit(f"{code} is not active")).isNull()
     cols = rows.columns
-    j = rows.withColumn("one", F.lit(1)).join(first, "one").where(found)
+    j = rows.crossJoin(F.broadcast(first)).where(found)  # one row
     swap = {"kind": F.when(hit, F.lit("excluded")).otherwise(F.col("kind")), "comment": F.when(hit, F.lit(comment)).otherwise(F.col("comment"))}
     return j.select(*[(swap[c] if c in swap else F.col(c)).alias(c) for c in cols])
 
@@ -150,9 +173,9 @@ def header_problems(head: dict[str, str], checked: tuple[str, ...] = ("appropria
 def stats(rows: DataFrame, concepts: DataFrame) -> DataFrame:
     """(hierarchy, n, leaves, percent): active lines by hierarchy; leaves' percent is of all active lines."""
     a = rows.where("kind = 'active'").select(F.col("code").alias("id"))
-    total = a.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
+    total = a.agg(F.count("*").alias("total"))
     n = a.join(concepts.select("id", "hierarchy", "children_count"), "id").groupBy("hierarchy").agg(F.count("*").alias("n"), F.count_if(F.col("children_count") == 0).alias("leaves"))
-    return n.withColumn("one", F.lit(1)).join(total, "one").select("hierarchy", "n", "leaves", F.round(100.0 * F.col("leaves") / F.col("total"), 0).alias("leaf_percent"))
+    return n.crossJoin(F.broadcast(total)).select("hierarchy", "n", "leaves", F.round(100.0 * F.col("leaves") / F.col("total"), 0).alias("leaf_percent"))
 
 
 def compared(a: DataFrame, b: DataFrame) -> DataFrame:

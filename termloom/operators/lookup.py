@@ -131,7 +131,7 @@ def memberships(concepts: DataFrame, members: DataFrame, id_: str) -> DataFrame:
 def full_record(concepts: DataFrame, members: DataFrame, id_: str) -> DataFrame:
     """A record with its refsets in member_of."""
     mine = memberships(concepts, members, id_).agg(F.array_sort(F.collect_list(F.struct("preferred_term", "id"))).alias("member_of"))
-    return by_id(concepts, id_).withColumn("__k", F.lit(1)).join(mine.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    return by_id(concepts, id_).crossJoin(F.broadcast(mine))  # one row
 
 
 # --- profiles -----------------------------------------------------------------

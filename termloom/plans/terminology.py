@@ -40,8 +40,12 @@ class Terminology:
 
     @property
     def closed(self) -> DataFrame:
+        """The closure, written to the shared folder, sorted by ancestor, when it is first asked for."""
         if self._closed is None:
-            self._closed = H.closure(self.isa, self.concepts)
+            spark = self.concepts.sparkSession
+            at = shared.folder(spark, "closure")
+            H.closure(self.isa, self.concepts).repartitionByRange("ancestor_id", "descendant_id").sortWithinPartitions("ancestor_id", "descendant_id").write.parquet(at)
+            self._closed = spark.read.parquet(at)
         return self._closed
 
     @property

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,19 +50,36 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_embeddings(spark: SparkSession, path: str, dimension: int | None = None) -> DataFrame:
-    """Embeddings from an Arrow IPC file; missing columns or another dimension are errors."""
+    """Embeddings from an Arrow IPC file that all machines see; missing columns or another dimension are errors.
+
+    The driver reads the file's schema and how many batches it has; executors
+    read the batches, each by its number.
+    """
     import pyarrow as pa
     import pyarrow.ipc
 
+    names = ["id", "preferred_term", "hierarchy", "embedding"]
     with pa.memory_map(path) as f:
-        table = pyarrow.ipc.open_file(f).read_all()
-    need = {"id", "preferred_term", "hierarchy", "embedding"}
-    if missing := need - set(table.column_names):
+        file = pyarrow.ipc.open_file(f)
+        schema, n = file.schema, file.num_record_batches
+    if missing := set(names) - set(schema.names):
         raise ValueError(f"columns are missing: {sorted(missing)}")
-    width = table.schema.field("embedding").type.list_size
+    width = schema.field("embedding").type.list_size
     if dimension is not None and width != dimension:
         raise ValueError(f"the embeddings have {width} dimensions, the query has {dimension}")
-    return spark.createDataFrame(table)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.ipc
+
+        with pa.memory_map(path) as f:
+            file = pyarrow.ipc.open_file(f)
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    x = file.get_batch(k).select(names)
+                    yield pa.RecordBatch.from_arrays([*x.columns[:3], x.column(3).cast(pa.list_(pa.float32()))], names)
+
+    return spark.range(0, n, 1, max(1, n)).mapInArrow(run, "id string, preferred_term string, hierarchy string, embedding array<float>")
 
 
 def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:

@@ -262,6 +262,92 @@ def test_stream_keeps_the_latest_record(spark, built, tmp_path):
     assert len(now) == 4 and now["55"] == "Changed" and now["386661006"] == "Pyrexia"
 
 
+def test_stream_writes_what_a_batch_touches_and_counts_late_rows(spark, built, tmp_path):
+    import datetime as dt
+
+    from termloom.streaming import ingest
+
+    _, df = built
+    (tmp_path / "drop").mkdir()
+    table = str(tmp_path / "table")
+    for k, (term, when) in enumerate([("a", "20200101"), ("b", "20300101"), ("stale", "20100101"), ("d", "20300101")]):
+        rows = df if k == 0 else df.where("id = '55'").withColumn("preferred_term", F.lit(term)).withColumn("effective_time", F.lit(when))
+        (tmp_path / "drop" / f"{k}.json").write_text("\n".join(r.value for r in K.ndjson_lines(rows).collect()))
+        ingest.keep_latest(ingest.stream_records(spark, str(tmp_path / "drop")), table, str(tmp_path / "cp")).awaitTermination()
+    now = {r.id: r.preferred_term for r in ingest.current(spark, table, 3).collect()}
+    assert len(now) == 4 and now["55"] == "d" and now["386661006"] == "Pyrexia"
+    versions = ingest._listed(spark, table)
+    assert {v for _, v in versions} == {0, 2, 3} and len([1 for _, v in versions if v]) == 2  # one bucket was written again, its oldest are gone
+    same = df.where("id = '55'").select("*").unionAll(df.where("id = '55'").withColumn("preferred_term", F.lit("tie")))
+    assert len({ingest.merged(None, x).first().preferred_term for x in (same, same.orderBy("preferred_term"), same.orderBy(F.desc("preferred_term")))}) == 1
+
+    day = dt.datetime(2024, 1, 5)
+    events = [("a", day, 1.0), ("a", day + dt.timedelta(hours=5), 2.0), ("b", day + dt.timedelta(days=1), 3.0), ("a", day + dt.timedelta(days=9), 0.0)]
+    spark.createDataFrame(events, "event_type string, ts timestamp, value double").coalesce(1).write.parquet(str(tmp_path / "ev"))
+    stream = spark.readStream.schema("event_type string, ts timestamp, value double").parquet(str(tmp_path / "ev"))
+    q = ingest.counts_by_time(stream, "ts").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.window.start, r.event_type): (r.n, r.total) for r in spark.table("counted").collect()} == {(day, "a"): (2, 3.0), (day + dt.timedelta(days=1), "b"): (1, 3.0), (day + dt.timedelta(days=9), "a"): (1, 0.0)}
+
+
+def test_releases_need_concepts_and_records_their_fields(spark, tmp_path, built):
+    (tmp_path / "empty").mkdir()
+    for where in (str(tmp_path / "empty"), str(tmp_path / "nowhere")):
+        with pytest.raises(FileNotFoundError):
+            release.read_release(spark, [where])
+    with pytest.raises(ValueError):
+        release.read_release(spark, [], refsets="all")
+    write(tmp_path / "in", "sct2_Concept_Snapshot_X.txt", CONCEPT_HEAD.split("\t"), ["1", "x", 1, "m", "d"])
+    assert release.discover(f"file://{tmp_path}/in", spark)["concept"] == [f"file:{tmp_path}/in/sct2_Concept_Snapshot_X.txt"]
+    assert release.read_release(spark, [f"file://{tmp_path}/in"])["concept"].count() == 1
+    _, df = built
+    line = K.ndjson_lines(df.where("id = '55'")).first().value
+    (tmp_path / "good.json").write_text(line + "\n\n")
+    assert R.read_ndjson(spark, str(tmp_path / "good.json")).count() == 1
+    import json
+
+    short = {k: v for k, v in json.loads(line).items() if k != "module"}
+    (tmp_path / "bad.json").write_text(json.dumps(short))
+    with pytest.raises(Exception, match="lacks module"):
+        R.read_ndjson(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_repeated_ids_of_a_release_count_once(spark):
+    rec = "id string, preferred_term string, hierarchy string, active boolean, ord int"
+    old = spark.createDataFrame([("1", "A", "F", True, 1), ("1", "B", "F", True, 2)], rec)
+    new = spark.createDataFrame([("1", "C", "F", True, 2), ("1", "B", "F", True, 3), ("2", "N", "F", True, 1), ("2", "N", "F", True, 2)], rec)
+    assert [(r.change, r.id) for r in D.compare(old, new).collect()] == [("added", "2")]
+    assert [r.line for r in D.report(old, new).collect()] == ["Added: 1", "  2 N", "Inactivated: 0", "Terms changed: 0", "Hierarchies changed: 0"]
+
+
+def test_settings_and_paths(tmp_path):
+    (tmp_path / "a.toml").write_text("[x]\ny = 1\n")
+    (tmp_path / "b.toml").write_text("= no")
+    assert R.read_config(str(tmp_path / "a.toml")) == {"x": {"y": 1}} and R.read_config(str(tmp_path / "b.toml")) == {} and R.read_config(str(tmp_path / "c.toml")) == {}
+    here = str(tmp_path / "a.toml")
+    assert R.resolve_path(here, "/no", None) == here and R.resolve_path(None, "/no", here) == here
+    for explicit, env in (("/no/such", here), (None, None)):
+        with pytest.raises(FileNotFoundError):
+            R.resolve_path(explicit, "/no", env)
+
+
+def test_emitted_sql_equals_frames(ten):
+    ten.closed  # noqa: B018
+    ten.register()
+    spark = ten.concepts.sparkSession
+    for e in ("descendants of Heart disease including self", "children of 2000000 or (parents of 4000000)", "descendants of 2000000 excluding descendants of 6000000", "ancestors of 4000000 and ancestors of 5000000"):
+        assert {r.id for r in spark.sql(ten.sql(e)).collect()} == {r.id for r in ten.select(e).collect()}
+    assert [(r.depth, r.id) for r in ten.chain("4000000").collect()] == [(1, "3000000"), (2, "2000000"), (3, "1000000")]
+    assert ids(ten.ancestors("4000000")) == ["3000000", "2000000", "1000000"] and sorted(ids(ten.descendants("6000000"))) == ["7000000", "8000000"]
+
+
+def test_new_list_warns_by_terminology(spark):
+    head = lambda t, **k: C.new("Joint list", t, **k).split("\n---\n")[0].removeprefix("---\n")
+    got = {t: [(w.code, w.severity) for w in spark.createDataFrame([(head(t),)], "h string").select(C.warnings(F.col("h"))).first()[0]] for t in ("X", "SNOMED CT", "dm+d")}
+    assert got["X"] == [("not-universal-definition", "info"), ("draft-not-reviewed", "info")] and got["SNOMED CT"][2:] == [("snomed-release-age", "caution")] and got["dm+d"][2:] == [("dmd-currency", "warning"), ("dmd-vmp-code-change", "caution")]
+    assert C.fields(head("X", release="20240101"))["snomed_release"] == "20240101"
+
+
 def test_closure_order_of_partitions_does_not_matter(built):
     _, df = built
     isa = B.edges_of(df)
