@@ -316,6 +316,12 @@ def nearest_descendant(t: Terminology, _):
     return t.concepts.select("id").join(near, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("nearest"))
 
 
+@query("SELECT id, coalesce(max(depth), 0) AS deepest FROM concepts LEFT JOIN closed ON ancestor_id = id GROUP BY id")
+def deepest_descendant(t: Terminology, _):
+    far = t.closed.groupBy(F.col("ancestor_id").alias("id")).agg(F.max("depth").alias("d"))
+    return t.concepts.select("id").join(far, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("deepest"))
+
+
 # --- sets -----------------------------------------------------------------------
 
 

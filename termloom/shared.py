@@ -7,7 +7,9 @@ the warehouse, which its machines share too.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +33,36 @@ def root(spark: SparkSession) -> str:
     return at if "://" in at or at.startswith("file:") else "file://" + os.path.abspath(at)
 
 
+_MADE: list[tuple[int, str]] = []  # process and URI
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new, empty folder's URI in the shared folder; Spark makes it when it writes."""
-    return f"{root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, empty folder's URI in the shared folder; Spark makes it when it writes.
+
+    It holds what this application reads again, and goes when the driver's
+    process ends.
+    """
+    if not _MADE:
+        atexit.register(_remove)
+    at = f"{root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((os.getpid(), at))
+    return at
+
+
+def _remove() -> None:
+    for pid, at in _MADE:
+        if pid != os.getpid():
+            continue
+        if at.startswith("file:"):
+            shutil.rmtree("/" + at[5:].lstrip("/"), ignore_errors=True)
+            continue
+        try:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(at)
+            store.delete_dir(path)
+        except Exception:  # the store is gone or not within Arrow's reach; what is left is the cluster's to clear
+            pass
 
 
 def cut(df: DataFrame) -> DataFrame:
