@@ -8,6 +8,7 @@ the warehouse, which its machines share too.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import uuid
@@ -65,7 +66,24 @@ def _remove() -> None:
             pass
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Within it, Spark removes a query's shuffle files when the query is over, not only when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    try:
+        had = spark.conf.get(name)
+    except Exception:  # an older Spark
+        yield
+        return
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame without its lineage, kept in the shared folder, so that a lost executor costs no recomputation."""
     root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
