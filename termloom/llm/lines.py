@@ -16,8 +16,9 @@ task; the join back is a plain shuffled one whose hot keys can be split.
 
 Edge cases: null and empty texts have no units and pass unchanged; rows that
 repeat both id and text are one occurrence and stay alike; a null id ranks
-first; documents that lose all their text stay, with an empty text; extra
-columns pass through, whatever their names.
+first; a very long text is one row, its units are found one by one; documents
+that lose all their text stay, with an empty text; extra columns pass through,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import as_row, cut
 
 MIN_WORDS = 5
 _ROWS = 1 << 16
@@ -135,15 +136,19 @@ def removed_spans(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS,
 def deduplicate(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS, sentences: bool = True, spans: str | None = None) -> DataFrame:
     """docs with the later occurrences cut from text (and n_chars, if there is one, counted anew).
 
-    spans names an added column with the merged spans that were removed.
+    spans names an added column with the merged spans that were removed; it
+    takes the place of a column that has the name.
     """
     lost = removed_spans(docs, by, min_words, sentences)
-    at, had = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    fields = [f for f in docs.schema.fields if f.name != spans]
+    names = [f.name for f in fields]
+    at, had = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     span_t = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    whole = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     both = whole.join(lost, whole["id"].eqNullSafe(lost["id"]) & (whole["h"] == lost["h"]), "left")
-    flat = both.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("spans").alias(spans or "__spans"))
-    schema = T.StructType([*docs.schema.fields, *([T.StructField(spans, span_t)] if spans else [])])
+    # by place, as a column of docs may have any name
+    flat = both.select(*[F.col("row").getField(c).alias(f"c{k}") for k, c in enumerate(names)], F.col("spans"))
+    schema = T.StructType([*fields, *([T.StructField(spans, span_t)] if spans else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
