@@ -6,7 +6,6 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import compression, kneser_ney, lines, mixing, packing, pairwise, records, simhash, sketch, warc
 from .shared import ship
@@ -53,13 +52,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 
-def _columns(name: str, *columns) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: QUERIES[name](spark, sf_dir).select(*columns)
+def _columns(name: str, *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: QUERIES[name](spark, sf_dir).selectExpr(*columns)
 
 
 # What SQL can express of a query, so that it is compared value by value: the columns that a contract defines.
 QUERIES["compression_base"] = _columns("op10_compression", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-QUERIES["mixing_targets"] = _columns("op7_mixing", "doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+QUERIES["mixing_targets"] = _columns("op7_mixing", "doc_id", "size", "source_size", "round(target, 4) AS target")
 QUERIES["sketch_edits"] = _columns("op8_sketch", "doc_id", "n_chars", "edited_sha256")
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"

@@ -96,3 +96,12 @@ def test_stages_against_plain_code(spark, folder, tmp_path):
 
 def test_run_returns_the_last_stage(spark, folder):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print('op7_mixing' in e.queries(), 'op3_warc' in e.oracle_sql(), set(e.oracle_sql()) <= set(e.queries()))"], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True)
+    assert said.stdout.split()[-3:] == ["True", "True", "True"], said.stderr
