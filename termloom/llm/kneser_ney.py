@@ -49,7 +49,6 @@ folder hasn't is an error.
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import json
 from collections import OrderedDict
@@ -58,10 +57,10 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Store, folder
+from .shared import Store, folder, tidy
 from .textstats import slices
 from .words import hashed, mix
 
@@ -663,22 +662,6 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(k, max(0.0, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))  # type: ignore[return-value]
 
 
-@contextlib.contextmanager
-def _tidy(spark: SparkSession):
-    """Within it, Spark removes a query's shuffle files when the query is over."""
-    name = "spark.sql.shuffleDependency.fileCleanup.enabled"
-    try:
-        had = spark.conf.get(name)
-        spark.conf.set(name, "true")
-    except Exception:  # an older Spark, which removes them when the driver collects garbage
-        had = None
-    try:
-        yield
-    finally:
-        if had is not None:
-            spark.conf.set(name, had)
-
-
 def _number(m: Arrays, n: int, sizes: dict[int, int], per: int) -> None:
     """Notes how many n-grams the shards have, in a file, and how many share a context shard."""
     each = np.zeros(1 << m.space(n).shard, "<i8")
@@ -714,7 +697,7 @@ def train(texts: DataFrame, uri: str, order: int = 2) -> Arrays:
     bits = lambda per: max(0, (-(-size // per) - 1).bit_length())
     m = Arrays(uri, order, bits(WORD_SHARD), bits(PAIR_SHARD))
     shards = lambda n: spark.range(0, 1 << m.space(n).shard, 1, min(1 << m.space(n).shard, 1 << 16))
-    with _tidy(spark):
+    with tidy(spark):
         for n in range(1, order):
             space, grams = m.space(n), _words_of(m) if n == 1 else _grams_of(m, n)
             made = _dealt(texts.mapInArrow(_count(grams, space, n == 1), _BLOCK), space).groupBy("shard").applyInArrow(_write_grams(m, n, space), "shard long, n long, tokens long").collect()
@@ -750,14 +733,17 @@ def score(m: Arrays, texts: pa.Array) -> dict[str, np.ndarray]:
     at, h = _token_hashes(texts)
     numbers, count = _numbered(m, at, h, m.order - 1)
     starts, known = _starts(at), numbers[0] >= 0
-    seen = _context(m, 1, numbers[0])[4]
     less = lambda n, x: np.maximum(0, x - np.array([0.0, *m.discounts[n - 1]])[np.minimum(x, 3)])
-    p = np.where(known, less(1, seen), 0) / max(1, m.pairs) + m.left / (m.vocabulary + 1)
+    here = _context(m, 1, numbers[0])
+    p = np.where(known, less(1, here[4]), 0) / max(1, m.pairs) + m.left / (m.vocabulary + 1)
     for n in range(2, m.order + 1):
-        before = _before(numbers[n - 2], starts, m.many(n - 1))
-        total, ones, twos, more, _ = _context(m, n - 1, before)
-        seen = _context(m, n, numbers[n - 1])[4] if n < m.order else _look_up(m, n, before, numbers[n - 2])[1]
-        d = m.discounts[n - 1]
+        # of the n-gram that ends a token earlier, or of the beginning
+        below = np.concatenate([np.zeros((5, 1), np.int64), here[:, :-1]], axis=1)
+        below[:, starts] = _context(m, n - 1, np.array([m.many(n - 1)]))
+        if n < m.order:
+            here = _context(m, n, numbers[n - 1])
+        seen = here[4] if n < m.order else _look_up(m, n, _before(numbers[n - 2], starts, m.many(n - 1)), numbers[n - 2])[1]
+        d, (total, ones, twos, more, _) = m.discounts[n - 1], below
         taken = d[0] * ones + d[1] * twos + d[2] * more
         p = np.where(total > 0, (less(n, seen) + taken * p) / np.maximum(1, total), p)
     base = np.log10((count + 1) / (m.tokens + m.vocabulary + 1))

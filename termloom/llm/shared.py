@@ -12,9 +12,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut, folder, root
+from ..shared import cut, folder, root, tidy
 
-__all__ = ["Store", "as_row", "cut", "folder", "local_path", "quoted", "root", "running", "ship"]
+__all__ = ["Store", "as_row", "cut", "folder", "local_path", "quoted", "root", "running", "ship", "tidy"]
 
 
 def local_path(uri: str) -> str | None:
