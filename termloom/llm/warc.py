@@ -6,7 +6,7 @@ finds each record by its headers, writes it again as a gzip member of its own
 and notes where: the sidecar index lists offset, length, record id and type.
 
 archive() writes a table's pages as such monolithic files, dealt to shards by a
-hash of their ids, normalises each, and keeps the members and the index.
+hash of their ids and digests, normalises each, and keeps the members and the index.
 Of records with equal payloads of at least LEAST bytes the one with the
 smallest id is a response and the others revisit it; a revisit keeps the
 response's headers (and thereby the payload's length) but not its payload.
@@ -19,8 +19,8 @@ payloads are shuffled once.
 
 Edge cases: null html is an empty payload; rows that repeat both id and
 payload are all responses if they hold the smallest id; a null id ranks last
-and is written as such; extra columns are ignored; an empty table writes no
-archive.
+and is written as such; a very long page is one record, in memory at once;
+extra columns are ignored; an empty table writes no archive.
 """
 
 from __future__ import annotations
@@ -165,7 +165,8 @@ def _writer(uri: str, level: int):
 def decisions(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, digest, refers_to): the pages whose payload an earlier page has."""
     thin = pages.select("page_id", F.sha2(F.col("html"), 256).alias("digest")).where(F.octet_length("html") >= least)
-    first = thin.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
+    # cut off, so that the join has a plain shuffle on either side and a hot digest's rows can be split
+    first = cut(thin.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to"))
     return thin.join(first, "digest").where("page_id is null or page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
@@ -176,7 +177,7 @@ def archive(pages: DataFrame, uri: str, least: int = LEAST, rows_per_shard: int
     full = t.select("page_id", F.sha2(F.col("html"), 256).alias("digest"), F.lit(False).alias("decides"), F.lit(None).cast("long").alias("refers_to"), F.octet_length("html").cast("long").alias("size"), "url", "html")
     none = [F.lit(None).cast(x).alias(y) for x, y in (("long", "size"), ("string", "url"), ("string", "html"))]
     said = decisions(t, least).select("page_id", "digest", F.lit(True).alias("decides"), "refers_to", *none)
-    dealt = full.unionAll(said).repartition(shards, "page_id").sortWithinPartitions(F.col("page_id").asc_nulls_last(), "digest", F.col("decides").desc())
+    dealt = full.unionAll(said).repartition(shards, "page_id", "digest").sortWithinPartitions(F.col("page_id").asc_nulls_last(), "digest", F.col("decides").desc())
     return cut(dealt.mapInArrow(_writer(uri, level), "shard string, records long"))
 
 
