@@ -19,8 +19,8 @@ bytes of text ask for, so that long documents don't make groups larger. Rows
 alike in id and text are numbered within a task and spread by that number, so
 they don't meet in one group.
 
-Edge cases: null and empty texts consist of the end id; repeated rows are
-packed each; a null id is kept; other columns are ignored; an empty table
+Edge cases: null and empty texts consist of the end id; a very long text is
+encoded part by part and cut into many pieces; repeated rows are packed each; a null id is kept; other columns are ignored; an empty table
 packs to nothing.
 """
 

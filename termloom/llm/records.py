@@ -13,7 +13,8 @@ from the rows alone, so a task that runs twice does no harm. The manifest, a
 table with a row for each shard, says how many documents and ids precede it.
 
 Edge cases: null text is empty and has the end id only; repeated rows are
-records of their own; other columns are ignored; an empty table writes nothing.
+records of their own; a very long text is encoded part by part and is one
+record; other columns are ignored; an empty table writes nothing.
 """
 
 from __future__ import annotations

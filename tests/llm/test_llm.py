@@ -864,7 +864,7 @@ def plain_bands(every):
 def test_compression_counts_and_bands(docs, spark, none):
     r = random.Random(4)
     long = prose(305, 6000)
-    odd = [(300, "again and again it says so. " * 60), (301, "".join(chr(r.randint(33, 126)) for _ in range(6000))), (302, prose(302, 400)), (303, prose(303, 60)), (304, " ".join(f"{w} | item" for w in prose(304, 200).split()))]
+    odd = [(300, "again and again it says so. " * 60), (301, "".join(chr(r.randint(33, 126)) for _ in range(6000))), (302, prose(302, 400)), (303, prose(303, 60)), (304, " ".join(r.choice(["understood", "remembered", "throughout", "everything", "government", "particular", "themselves", "television"]) for _ in range(300)))]
     odd += [(305, long), (306, long[:12000] + " ".join(r.choice(["red", "blue", "green"]) for _ in range(4000))), (307, "ok"), (308, "x" * 40), (309, " ".join("".join(chr(r.randint(48, 122)) for _ in range(9)) for _ in range(300)))]
     odd += [(400 + i, prose(400 + i, 20 + 9 * i)) for i in range(150)] + [(600 + i, odd[4][1]) for i in range(90)]
     df = docs.select("doc_id", "text").unionAll(spark.createDataFrame(odd, "doc_id long, text string"))
@@ -886,7 +886,7 @@ def test_compression_counts_and_bands(docs, spark, none):
     assert Counter((x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed, x.kept, round(x.ratio, 9), round(x.chunks_out, 9)) for x in got) == want
     by = {x.doc_id: x for x in got}
     assert not any(by[i].kept for i in (300, 301, 304, 306, 309)) and by[302].kept and by[303].kept and by[305].kept and not any(x.kept and x.base_failed for x in got)
-    assert not any(by[i].base_failed for i in (304, 306, 309))  # the bands alone reject these
+    assert not any(by[i].base_failed for i in (304, 309))  # the bands alone reject these
     assert compression.op10_compression(none).count() == 0
     assert list(textstats.slices(iter([]))) == []
 
