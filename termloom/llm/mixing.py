@@ -18,7 +18,8 @@ Targets: sources ordered by code point, null last, weigh 1, 2, 3, repeating;
 they share the words of all documents; a target stops at MOST times its
 source's words, and the excess is shared anew by weight until none is above.
 
-Edge cases: null and empty texts have size 0 and are never taken; sources
+Edge cases: null and empty texts have size 0 and are never taken; a very long
+text spans many blocks, a row each; columns of any name pass through; sources
 without words get target 0; documents that repeat an id are told apart by
 source and text, and rows alike in all three are dealt one after another; an
 empty table gives no rows.
@@ -29,9 +30,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import as_row, cut, running
 
 BLOCK, SLOTS, MOST, SEED = 256, 1024, 3, 20
+SLOTS_PER_TASK = 16_384
 ROWS_PER_CHUNK = 512  # small, so that a chunk of a source with a third of all rows is no larger than its neighbours
 CELLS = 4096  # of the cumulated shares, by which a draw finds its source
 
@@ -66,7 +68,7 @@ def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
     return b.select("source", "source_size", "weight", t.alias("target"))
 
 
-_WALKS = 96  # a walk ends outside with a chance under 2^-96
+_FEW, _WALKS = 6, 96  # a walk ends outside with a chance under 2^-96; most end after a few steps
 
 
 def _image(y: str) -> str:
@@ -87,7 +89,8 @@ def permuted(slots: DataFrame, out: str = "block") -> DataFrame:
     """
     bits = F.length(F.bin(F.col("n") - 1))
     wide = slots.withColumn("key", F.xxhash64("seed", F.lit(SEED))).withColumn("mask", F.expr("shiftleft(1L, length(bin(n - 1))) - 1")).withColumn("half", F.greatest(F.lit(1), (bits / 2).cast("int")))
-    walk = f"aggregate(sequence(1, {_WALKS}), {_image('x')}, (y, i) -> case when y < n then y else {_image('y')} end)"
+    step = lambda y, n: f"aggregate(sequence(1, {n}), {y}, (y, i) -> case when y < n then y else {_image('y')} end)"
+    walk = f"transform(array({step(_image('x'), _FEW)}), z -> case when z < n then z else {step('z', _WALKS - _FEW)} end)[0]"
     return wide.withColumn(out, F.expr(walk)).drop("key", "mask", "half")
 
 
@@ -95,10 +98,14 @@ def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h) of every document; h tells rows apart by id, source and text."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"),
-        F.xxhash64("doc_id", "source", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"),
+        _hash().alias("h"),
     )
 
 
+def _hash() -> Column:
+    return F.xxhash64("doc_id", "source", F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def placed(rows: DataFrame, block: int = BLOCK, most: float = MOST) -> tuple[DataFrame, DataFrame]:
     """(documents with their source's number and their start in its stream, sources with blocks and quota)."""
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -109,7 +116,7 @@ def placed(rows: DataFrame, block: int = BLOCK, most: float = MOST) -> tuple[Dat
     chunks = -(-rows.count() // ROWS_PER_CHUNK) or 1
     d = rows.join(sources.select(F.col("source").alias("s2"), "sid"), F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "sid", "size", "h", F.pmod("h", F.lit(chunks)).alias("chunk"))
     sums = d.groupBy("sid", "chunk").agg(F.sum("size").alias("s"))
-    offset = sums.select("sid", "chunk", F.coalesce(F.sum("s").over(Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    offset = running(sums, ["sid"], "chunk", "s", "before").drop("s")
     inside = Window.partitionBy("sid", "chunk").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     return d.join(offset, ["sid", "chunk"]).withColumn("start", start).select("doc_id", "sid", "size", "h", "start"), sources
@@ -127,20 +134,21 @@ def plan(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
     draws = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"id div {slots}").alias("shard"), F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(max(1, total))).alias("r"))
     drawn = draws.withColumn("cell", F.expr(f"r div {width}")).join(cells, "cell").where("lo <= r and r < hi").select("shard", "slot", "sid")
     per = drawn.groupBy("sid", "shard").agg(F.count("*").alias("c"))
-    before = per.select("sid", "shard", F.coalesce(F.sum("c").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    j = F.col("before") + F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1
-    numbered = drawn.join(before, ["sid", "shard"]).withColumn("j", j).select("shard", "slot", "sid", "j")
     # slots beyond a quota, numbered through, take the places of the sources that fell short
     tally = some.join(per.groupBy("sid").agg(F.sum("c").alias("c")), "sid", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     flow = tally.withColumn("over", F.greatest(F.lit(0), F.col("c") - F.col("quota"))).withColumn("under", F.greatest(F.lit(0), F.col("quota") - F.col("c")))
     upto = lambda c: F.sum(c).over(Window.orderBy("sid")) - F.col(c)
     flow = flow.select("sid", "n", "quota", "c", "over", "under", upto("over").alias("over_at"), upto("under").alias("under_at"))
-    known = numbered.join(flow.select("sid", "n", "quota", "over_at"), "sid")
+    # what a slot needs of its source comes with its shard's row, so that no source's slots meet in one task
+    before = running(per, ["sid"], "shard", "c", "before").drop("c").join(flow.select("sid", "n", "quota", "over_at"), "sid")
+    j = F.col("before") + F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1
+    known = drawn.join(before, ["sid", "shard"]).withColumn("j", j)
     stay = known.where("j < quota").select("shard", "slot", "sid", "n", "j")
     moved = known.where("j >= quota").select("shard", "slot", (F.col("over_at") + F.col("j") - F.col("quota")).alias("rank"))
     places = flow.where("under > 0").select("sid", "n", F.explode(F.expr("sequence(c, quota - 1)")).alias("j"), "c", "under_at").select("sid", "n", "j", (F.col("under_at") + F.col("j") - F.col("c")).alias("rank"))
     full = stay.unionAll(moved.join(places, "rank").select("shard", "slot", "sid", "n", "j"))
-    reads = full.withColumn("pass", F.expr("j div n")).withColumn("x", F.expr("j % n")).withColumn("seed", F.xxhash64("sid", "pass"))
+    spread = full.repartition(-(-total // SLOTS_PER_TASK) or 1, "slot")  # walking costs more than the rows' few bytes tell
+    reads = spread.withColumn("pass", F.expr("j div n")).withColumn("x", F.expr("j % n")).withColumn("seed", F.xxhash64("sid", "pass"))
     return permuted(reads).select("shard", "slot", "sid", "pass", "block")
 
 
@@ -152,6 +160,23 @@ def pieces(docs: DataFrame, sources: DataFrame, mix: DataFrame, block: int = BLO
     return part.join(uses, ["sid", "block"], "left").select("doc_id", "sid", "size", "h", "start", (a - F.col("start")).alias("first"), (z - a).alias("words"), F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
+def sharded(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+    """(shard, slot, sid, pass, block, text): the mix itself, the words of the block that each slot reads.
+
+    A block's text is put together once, from the parts of the documents in
+    it, and joins the slots by index; a block holds so many words at most.
+    """
+    d, sources = placed(cut(sized(docs)), block)
+    d = cut(d)
+    mix = plan(sources, slots)
+    part = pieces(d, sources, mix, block).withColumn("block", F.expr(f"(start + first) div {block}")).select("doc_id", "h", "sid", "block", "start", "first", "words")
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash().alias("h"), F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w"))
+    one = each.groupBy("h").agg(F.first("w").alias("w"))  # rows alike in id, source and text
+    texts = part.join(one, "h").select("sid", "block", (F.col("start") + F.col("first")).alias("at"), F.array_join(F.slice("w", (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " ").alias("t"))
+    blocks = texts.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("at", "t"))).alias("p")).select("sid", "block", F.array_join("p.t", " ").alias("text"))
+    return mix.join(blocks, ["sid", "block"]).select("shard", "slot", "sid", "pass", "block", "text")
+
+
 def op7_mixing(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target and the words that the mix takes, for every document."""
     d, sources = placed(cut(sized(docs)), block)
@@ -174,7 +199,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     reads = pieces(d, sources, plan(sources), block).groupBy("doc_id", "h", "sid", "start", "size").agg(F.sort_array(F.collect_list(F.struct("first", "words", "uses"))).alias("parts"), F.max("uses").alias("most"))
     reads = reads.where("most > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "parts", "most")
     cols = docs.columns
-    keyed = docs.select(F.struct(*[docs[c] for c in cols]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "source", F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+    keyed = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), _hash().alias("h"))
     one = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("h", "id").orderBy("h"))).where("rn = 1")  # equal rows have one text
     both = one.join(reads, (one["h"] == reads["__h"]) & one["id"].eqNullSafe(reads["__id"]))
     each = both.select("row", "parts", F.explode(F.expr("sequence(1L, most)")).alias("m"))
