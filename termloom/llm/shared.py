@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..shared import cut, folder, root, tidy
 
-__all__ = ["Store", "as_row", "cut", "folder", "local_path", "quoted", "root", "running", "ship", "tidy"]
+__all__ = ["Store", "as_row", "cut", "folder", "local_path", "quoted", "root", "running", "ship", "shuffled", "tidy"]
 
 
 def local_path(uri: str) -> str | None:
@@ -84,6 +84,15 @@ def as_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(quoted(c)) for c in docs.columns])
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A join's side with which both sides are shuffled and none goes through the driver.
+
+    Spark takes a table that is exploded for no longer than before, and so
+    would broadcast rows of many times the size that it allows.
+    """
+    return df.hint("merge")
+
+
 def running(df: DataFrame, by: list[str], place: str, value: str, out: str, step: int = 1024) -> DataFrame:
     """Adds out: the sum of value over the rows of by with a smaller place (a number from 0, each once).
 

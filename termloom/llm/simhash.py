@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import as_row, cut
+from .shared import as_row, cut, shuffled
 
 SHINGLE, SEED, BITS, SEGMENT = 3, 42, 64, 32
 ROWS_PER_TASK = 16_384  # of fingerprints, each of which has 64 variants
@@ -81,13 +81,13 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
     # cut off, so that the join has a plain shuffle on either side and a hot variant's rows can be split
     shared = cut(variants.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
-    met = cut(variants.join(shared, "k"))
+    met = cut(variants.join(shuffled(shared), "k"))
     few = met.where(F.col("n") <= crowd).select("k", "fp")
-    pairs = few.join(few.select("k", F.col("fp").alias("v")), "k").where("fp < v").select(F.col("fp").alias("u"), "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
+    pairs = few.join(shuffled(few.select("k", F.col("fp").alias("v"))), "k").where("fp < v").select(F.col("fp").alias("u"), "v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)
     many = met.where(F.col("n") > crowd).select("fp").distinct()
     near = many.select("fp", F.explode(F.expr(f"concat(array(fp), transform(sequence(0, {BITS - 1}), i -> fp ^ shiftleft(1L, i)))")).alias("k"))
     hub = near.groupBy("k").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
-    stars = near.join(hub, "k").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    stars = near.join(shuffled(hub), "k").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.unionAll(stars)
 
 
@@ -97,17 +97,17 @@ def _classes(marked: DataFrame, crowd: int) -> DataFrame:
     # as many tasks as its variants, not its few bytes, ask for
     spread = distinct.repartition(-(-distinct.count() // ROWS_PER_TASK) or 1, "fp")
     found = components(links(spread, crowd)).select(F.col("node").alias("fp"), "root")
-    return distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(shuffled(found), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: the least doc_id reachable over links of at most two bits."""
     marked = cut(fingerprints(docs))
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    classes = _classes(marked, crowd).join(first, "fp")
+    classes = _classes(marked, crowd).join(shuffled(first), "fp")
     lowest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = classes.join(lowest, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = classes.join(shuffled(lowest), "root").select("fp", "component_id")
+    return marked.join(shuffled(of), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -118,12 +118,12 @@ def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     marked = cut(fingerprints(docs))
     one = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
-    stay = _classes(marked, crowd).join(one, "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.none", F.coalesce("k.doc_id", F.lit(0)).alias("id"), "k.h").distinct()
+    stay = _classes(marked, crowd).join(shuffled(one), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.none", F.coalesce("k.doc_id", F.lit(0)).alias("id"), "k.h").distinct()
     id_ = F.col("doc_id").cast("long")
     keyed = docs.select(as_row(docs).alias("row"), id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
     rank = [F.col("row").getField(f.name) for f in docs.schema.fields if f.dataType.typeName() in _ORDERED]
     of = Window.partitionBy("none", "id", "h").orderBy(*rank)
-    kept = keyed.join(stay, ["none", "id", "h"], "left_semi").withColumn("n", F.row_number().over(of)).where("n = 1")
+    kept = keyed.join(shuffled(stay), ["none", "id", "h"], "left_semi").withColumn("n", F.row_number().over(of)).where("n = 1")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -308,6 +308,17 @@ def test_simhash_links_at_two_bits_even_in_a_crowd(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want))
 
 
+def test_no_simhash_join_goes_through_the_driver(spark, docs, monkeypatch):
+    # Spark thinks that 64 variants take no more room than their fingerprint, and so would broadcast far more than its limit
+    plans = []
+    noted = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or shared.cut(df)
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "cut", noted)
+    for of in (simhash.near_duplicates, simhash.one_of_each):
+        plans.append(of(docs)._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_one_of_each_keeps_one_row_for_a_group(docs, none):
     kept = simhash.one_of_each(docs).collect()
     assert list(kept[0].asDict()) == docs.columns
