@@ -13,6 +13,8 @@ permutation of the source's block indexes for each pass, and joins it by index.
 Everything is drawn from hashes of fixed seeds, so reruns agree whatever the
 partitioning. Hot sources are dealt by document hash into chunks, whose sums
 give every document its place in the stream without gathering a source.
+Only tables of a row for each source or cell go through the driver, and only
+where there are HEADS sources at most; all other joins shuffle both sides.
 
 Targets: sources ordered by code point, null last, weigh 1, 2, 3, repeating;
 they share the words of all documents; a target stops at MOST times its
@@ -30,12 +32,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import as_row, cut, running
+from .shared import as_row, cut, running, shuffled
 
 BLOCK, SLOTS, MOST, SEED = 256, 1024, 3, 20
 SLOTS_PER_TASK = 16_384
 ROWS_PER_CHUNK = 512  # small, so that a chunk of a source with a third of all rows is no larger than its neighbours
 CELLS = 4096  # of the cumulated shares, by which a draw finds its source
+HEADS = 4096  # so many sources at most are broadcast, a row for each and a row for each cell
 
 
 def words(text: Column) -> Column:
@@ -106,6 +109,11 @@ def _hash() -> Column:
     return F.xxhash64("doc_id", "source", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _by_source(df: DataFrame, sources: int) -> DataFrame:
+    """A join's side with a row for each of so many sources, or some for each; one source may have a third of the other side's rows."""
+    return F.broadcast(df) if sources <= HEADS else shuffled(df)
+
+
 def placed(rows: DataFrame, block: int = BLOCK, most: float = MOST) -> tuple[DataFrame, DataFrame]:
     """(documents with their source's number and their start in its stream, sources with blocks and quota)."""
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -114,12 +122,13 @@ def placed(rows: DataFrame, block: int = BLOCK, most: float = MOST) -> tuple[Dat
     quota = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") / F.col("source_size") * blocks), F.floor(F.lit(most) * blocks))).otherwise(0).cast("long")
     sources = cut(t.withColumn("n", blocks).withColumn("quota", quota))
     chunks = -(-rows.count() // ROWS_PER_CHUNK) or 1
-    d = rows.join(sources.select(F.col("source").alias("s2"), "sid"), F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "sid", "size", "h", F.pmod("h", F.lit(chunks)).alias("chunk"))
+    named = _by_source(sources.select(F.col("source").alias("s2"), "sid"), sources.count())
+    d = rows.join(named, F.col("source").eqNullSafe(F.col("s2"))).select("doc_id", "sid", "size", "h", F.pmod("h", F.lit(chunks)).alias("chunk"))
     sums = d.groupBy("sid", "chunk").agg(F.sum("size").alias("s"))
     offset = running(sums, ["sid"], "chunk", "s", "before").drop("s")
     inside = Window.partitionBy("sid", "chunk").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    return d.join(offset, ["sid", "chunk"]).withColumn("start", start).select("doc_id", "sid", "size", "h", "start"), sources
+    return d.join(shuffled(offset), ["sid", "chunk"]).withColumn("start", start).select("doc_id", "sid", "size", "h", "start"), sources
 
 
 def plan(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -132,21 +141,21 @@ def plan(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
     high = F.sum("quota").over(Window.orderBy("sid"))
     cells = some.withColumn("hi", high).withColumn("lo", F.col("hi") - F.col("quota")).withColumn("cell", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})"))).select("cell", "lo", "hi", "sid")
     draws = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"id div {slots}").alias("shard"), F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(max(1, total))).alias("r"))
-    drawn = draws.withColumn("cell", F.expr(f"r div {width}")).join(cells, "cell").where("lo <= r and r < hi").select("shard", "slot", "sid")
+    drawn = draws.withColumn("cell", F.expr(f"r div {width}")).join(_by_source(cells, k.sources), "cell").where("lo <= r and r < hi").select("shard", "slot", "sid")
     per = drawn.groupBy("sid", "shard").agg(F.count("*").alias("c"))
     # slots beyond a quota, numbered through, take the places of the sources that fell short
-    tally = some.join(per.groupBy("sid").agg(F.sum("c").alias("c")), "sid", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    tally = some.join(shuffled(per.groupBy("sid").agg(F.sum("c").alias("c"))), "sid", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     flow = tally.withColumn("over", F.greatest(F.lit(0), F.col("c") - F.col("quota"))).withColumn("under", F.greatest(F.lit(0), F.col("quota") - F.col("c")))
     upto = lambda c: F.sum(c).over(Window.orderBy("sid")) - F.col(c)
     flow = flow.select("sid", "n", "quota", "c", "over", "under", upto("over").alias("over_at"), upto("under").alias("under_at"))
     # what a slot needs of its source comes with its shard's row, so that no source's slots meet in one task
-    before = running(per, ["sid"], "shard", "c", "before").drop("c").join(flow.select("sid", "n", "quota", "over_at"), "sid")
+    before = running(per, ["sid"], "shard", "c", "before").drop("c").join(_by_source(flow.select("sid", "n", "quota", "over_at"), k.sources), "sid")
     j = F.col("before") + F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1
-    known = drawn.join(before, ["sid", "shard"]).withColumn("j", j)
+    known = drawn.join(shuffled(before), ["sid", "shard"]).withColumn("j", j)
     stay = known.where("j < quota").select("shard", "slot", "sid", "n", "j")
     moved = known.where("j >= quota").select("shard", "slot", (F.col("over_at") + F.col("j") - F.col("quota")).alias("rank"))
     places = flow.where("under > 0").select("sid", "n", F.explode(F.expr("sequence(c, quota - 1)")).alias("j"), "c", "under_at").select("sid", "n", "j", (F.col("under_at") + F.col("j") - F.col("c")).alias("rank"))
-    full = stay.unionAll(moved.join(places, "rank").select("shard", "slot", "sid", "n", "j"))
+    full = stay.unionAll(moved.join(shuffled(places), "rank").select("shard", "slot", "sid", "n", "j"))
     spread = full.repartition(-(-total // SLOTS_PER_TASK) or 1, "slot")  # walking costs more than the rows' few bytes tell
     reads = spread.withColumn("pass", F.expr("j div n")).withColumn("x", F.expr("j % n")).withColumn("seed", F.xxhash64("sid", "pass"))
     return permuted(reads).select("shard", "slot", "sid", "pass", "block")
@@ -157,7 +166,7 @@ def pieces(docs: DataFrame, sources: DataFrame, mix: DataFrame, block: int = BLO
     uses = mix.groupBy("sid", "block").agg(F.count("*").alias("uses"))
     part = docs.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     a, z = F.greatest(F.col("start"), F.col("block") * block), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
-    return part.join(uses, ["sid", "block"], "left").select("doc_id", "sid", "size", "h", "start", (a - F.col("start")).alias("first"), (z - a).alias("words"), F.coalesce("uses", F.lit(0)).alias("uses"))
+    return part.join(shuffled(uses), ["sid", "block"], "left").select("doc_id", "sid", "size", "h", "start", (a - F.col("start")).alias("first"), (z - a).alias("words"), F.coalesce("uses", F.lit(0)).alias("uses"))
 
 
 def sharded(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
@@ -172,9 +181,9 @@ def sharded(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS) -> DataFram
     part = pieces(d, sources, mix, block).withColumn("block", F.expr(f"(start + first) div {block}")).select("doc_id", "h", "sid", "block", "start", "first", "words")
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash().alias("h"), F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w"))
     one = each.groupBy("h").agg(F.first("w").alias("w"))  # rows alike in id, source and text
-    texts = part.join(one, "h").select("sid", "block", (F.col("start") + F.col("first")).alias("at"), F.array_join(F.slice("w", (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " ").alias("t"))
+    texts = part.join(shuffled(one), "h").select("sid", "block", (F.col("start") + F.col("first")).alias("at"), F.array_join(F.slice("w", (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " ").alias("t"))
     blocks = texts.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("at", "t"))).alias("p")).select("sid", "block", F.array_join("p.t", " ").alias("text"))
-    return mix.join(blocks, ["sid", "block"]).select("shard", "slot", "sid", "pass", "block", "text")
+    return mix.join(shuffled(blocks), ["sid", "block"]).select("shard", "slot", "sid", "pass", "block", "text")
 
 
 def op7_mixing(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -183,7 +192,7 @@ def op7_mixing(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     d = cut(d)
     taken = pieces(d, sources, plan(sources), block).groupBy("doc_id", "sid", "size", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     every = taken.unionByName(d.where("size = 0").select("doc_id", "sid", "size", "start", F.lit(0).cast("long").alias("taken")))
-    return every.join(sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")
+    return every.join(_by_source(sources.select("sid", "source_size", "target"), sources.count()), "sid").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -201,7 +210,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     cols = docs.columns
     keyed = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), _hash().alias("h"))
     one = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("h", "id").orderBy("h"))).where("rn = 1")  # equal rows have one text
-    both = one.join(reads, (one["h"] == reads["__h"]) & one["id"].eqNullSafe(reads["__id"]))
+    both = one.join(shuffled(reads), (one["h"] == reads["__h"]) & one["id"].eqNullSafe(reads["__id"]))
     each = both.select("row", "parts", F.explode(F.expr("sequence(1L, most)")).alias("m"))
     split = F.expr(r"regexp_extract_all(row.text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
     kept = F.expr("filter(parts, p -> p.uses >= m)")

@@ -105,7 +105,7 @@ def running(df: DataFrame, by: list[str], place: str, value: str, out: str, step
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     first = steps.select(*by, "__step", F.coalesce(F.sum("__sum").over(before(Window.partitionBy(*by).orderBy("__step"))), F.lit(0)).alias("__first"))
     inside = F.coalesce(F.sum(value).over(before(Window.partitionBy(*by, "__step").orderBy(place))), F.lit(0))
-    return own.join(first, [*by, "__step"]).withColumn(out, F.col("__first") + inside).drop("__step", "__first")
+    return own.join(shuffled(first), [*by, "__step"]).withColumn(out, F.col("__first") + inside).drop("__step", "__first")
 
 
 _SHIPPED: set[str] = set()

@@ -623,6 +623,18 @@ def test_targets_and_mix(docs, none, spark):
     assert mixing.op7_mixing(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def test_only_tables_by_source_of_a_mix_go_through_the_driver(docs, monkeypatch):
+    # Spark takes documents' parts and cells for no longer than what they are exploded from, and so would broadcast far more than its limit
+    want, plans = Counter(map(repr, mixing.op7_mixing(docs, 16).collect())), []
+    noted = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or shared.cut(df)
+    monkeypatch.setattr(mixing, "cut", noted)
+    monkeypatch.setattr(mixing, "HEADS", 0, raising=False)  # as if there were more sources than are broadcast
+    made = [f(docs) for f in (lambda d: mixing.op7_mixing(d, 16), mixing.mixed, mixing.sharded)]
+    plans += [m._jdf.queryExecution().executedPlan().toString() for m in made]
+    assert sum(p.count("SortMergeJoin") for p in plans) > 20 and not any("BroadcastHashJoin" in p for p in plans)
+    assert Counter(map(repr, made[0].collect())) == want
+
+
 def chained(*values):
     """Spark's xxhash64 of values: longs, ints as (n,), strings; nulls are passed over."""
     h = 42
