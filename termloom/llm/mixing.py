@@ -141,13 +141,14 @@ def plan(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
     high = F.sum("quota").over(Window.orderBy("sid"))
     cells = some.withColumn("hi", high).withColumn("lo", F.col("hi") - F.col("quota")).withColumn("cell", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})"))).select("cell", "lo", "hi", "sid")
     draws = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"id div {slots}").alias("shard"), F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(max(1, total))).alias("r"))
-    drawn = draws.withColumn("cell", F.expr(f"r div {width}")).join(_by_source(cells, k.sources), "cell").where("lo <= r and r < hi").select("shard", "slot", "sid")
+    # cut off in steps, as the driver's plans of it all would take hundreds of MB
+    drawn = cut(draws.withColumn("cell", F.expr(f"r div {width}")).join(_by_source(cells, k.sources), "cell").where("lo <= r and r < hi").select("shard", "slot", "sid"))
     per = drawn.groupBy("sid", "shard").agg(F.count("*").alias("c"))
     # slots beyond a quota, numbered through, take the places of the sources that fell short
     tally = some.join(shuffled(per.groupBy("sid").agg(F.sum("c").alias("c"))), "sid", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     flow = tally.withColumn("over", F.greatest(F.lit(0), F.col("c") - F.col("quota"))).withColumn("under", F.greatest(F.lit(0), F.col("quota") - F.col("c")))
     upto = lambda c: F.sum(c).over(Window.orderBy("sid")) - F.col(c)
-    flow = flow.select("sid", "n", "quota", "c", "over", "under", upto("over").alias("over_at"), upto("under").alias("under_at"))
+    flow = cut(flow.select("sid", "n", "quota", "c", "over", "under", upto("over").alias("over_at"), upto("under").alias("under_at")))
     # what a slot needs of its source comes with its shard's row, so that no source's slots meet in one task
     before = running(per, ["sid"], "shard", "c", "before").drop("c").join(_by_source(flow.select("sid", "n", "quota", "over_at"), k.sources), "sid")
     j = F.col("before") + F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot")) - 1
@@ -158,7 +159,7 @@ def plan(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
     full = stay.unionAll(moved.join(shuffled(places), "rank").select("shard", "slot", "sid", "n", "j"))
     spread = full.repartition(-(-total // SLOTS_PER_TASK) or 1, "slot")  # walking costs more than the rows' few bytes tell
     reads = spread.withColumn("pass", F.expr("j div n")).withColumn("x", F.expr("j % n")).withColumn("seed", F.xxhash64("sid", "pass"))
-    return permuted(reads).select("shard", "slot", "sid", "pass", "block")
+    return cut(permuted(reads).select("shard", "slot", "sid", "pass", "block"))
 
 
 def pieces(docs: DataFrame, sources: DataFrame, mix: DataFrame, block: int = BLOCK) -> DataFrame:
